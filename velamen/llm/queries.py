@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from . import jaccard_join as _jaccard
+from . import sharding as _sharding
+from . import winnowing as _winnowing
 from .common import table
 
 
@@ -10,5 +12,13 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return _jaccard.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, percent=75)
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+def op2_sharding(spark, sf_dir):
+    return _sharding.histogram_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
+
+
+def op10_document_fingerprints(spark, sf_dir):
+    return _winnowing.winnowed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op10_document_fingerprints)}
 SQL: dict[str, str] = {}
