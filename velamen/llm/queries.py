@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from . import jaccard_join as _jaccard
+from . import language_id as _language
+from . import packing as _packing
 from . import sharding as _sharding
+from . import token_counts as _counts
 from . import winnowing as _winnowing
 from .common import table
 
@@ -16,9 +19,21 @@ def op2_sharding(spark, sf_dir):
     return _sharding.histogram_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
 
 
+def op5_language_id(spark, sf_dir):
+    return _language.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op7_packing(spark, sf_dir):
+    return _packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2048, end=1)
+
+
+def op8_token_counts(spark, sf_dir):
+    return _counts.length_totals(_counts.length_histogram(table(spark, sf_dir, "documents").select("text")))
+
+
 def op10_document_fingerprints(spark, sf_dir):
     return _winnowing.winnowed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op5_language_id, op7_packing, op8_token_counts, op10_document_fingerprints)}
 SQL: dict[str, str] = {}
