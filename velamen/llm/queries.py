@@ -7,6 +7,7 @@ from . import language_id as _language
 from . import packing as _packing
 from . import sharding as _sharding
 from . import token_counts as _counts
+from . import url_filter as _urls
 from . import winnowing as _winnowing
 from .common import table
 
@@ -31,9 +32,17 @@ def op8_token_counts(spark, sf_dir):
     return _counts.length_totals(_counts.length_histogram(table(spark, sf_dir, "documents").select("text")))
 
 
+#: The rules of the url query: verdict, host, path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op9_url_filters(spark, sf_dir):
+    return _urls.judged_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
 def op10_document_fingerprints(spark, sf_dir):
     return _winnowing.winnowed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op5_language_id, op7_packing, op8_token_counts, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op5_language_id, op7_packing, op8_token_counts, op9_url_filters, op10_document_fingerprints)}
 SQL: dict[str, str] = {}
