@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import jaccard_join as _jaccard
 from . import language_id as _language
 from . import packing as _packing
+from . import personal as _personal
 from . import sharding as _sharding
 from . import token_counts as _counts
 from . import url_filter as _urls
@@ -20,6 +21,10 @@ def op2_sharding(spark, sf_dir):
     return _sharding.histogram_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
 
 
+def op3_pii(spark, sf_dir):
+    return _personal.personal_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_language_id(spark, sf_dir):
     return _language.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -44,5 +49,5 @@ def op10_document_fingerprints(spark, sf_dir):
     return _winnowing.winnowed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op5_language_id, op7_packing, op8_token_counts, op9_url_filters, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op3_pii, op5_language_id, op7_packing, op8_token_counts, op9_url_filters, op10_document_fingerprints)}
 SQL: dict[str, str] = {}
