@@ -84,11 +84,15 @@ def _powers(n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, offsets: np.ndarray, marks: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of each row with A-Z lower-cased: 64-bit hashes, byte starts, byte ends,
-    and per row the index of its first word (n + 1 values). UTF-8 keeps ASCII white space out of other characters."""
+    and per row the index of its first word (n + 1 values). UTF-8 keeps ASCII white space out of other characters.
+    Without marks, words are runs of ASCII letters and digits and of all characters beyond ASCII."""
     low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
-    word = ~((low == 32) | ((low >= 9) & (low <= 13)))
+    if marks:
+        word = ~((low == 32) | ((low >= 9) & (low <= 13)))
+    else:
+        word = ((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57)) | (low >= 128)
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = offsets[(offsets > 0) & (offsets < len(raw))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import decontaminate as _items
 from . import jaccard_join as _jaccard
 from . import language_id as _language
 from . import packing as _packing
@@ -9,6 +10,7 @@ from . import personal as _personal
 from . import sharding as _sharding
 from . import token_counts as _counts
 from . import url_filter as _urls
+from . import warc as _warc
 from . import winnowing as _winnowing
 from .common import table
 
@@ -25,10 +27,18 @@ def op3_pii(spark, sf_dir):
     return _personal.personal_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_warc_derivatives(spark, sf_dir):
+    return _warc.derived(_warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op5_language_id(spark, sf_dir):
     return _language.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op6_benchmark_decontamination(spark, sf_dir):
+    return _items.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark, sf_dir):
     return _packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2048, end=1)
 
@@ -49,5 +59,5 @@ def op10_document_fingerprints(spark, sf_dir):
     return _winnowing.winnowed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op3_pii, op5_language_id, op7_packing, op8_token_counts, op9_url_filters, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op3_pii, op4_warc_derivatives, op5_language_id, op6_benchmark_decontamination, op7_packing, op8_token_counts, op9_url_filters, op10_document_fingerprints)}
 SQL: dict[str, str] = {}
