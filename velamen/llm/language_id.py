@@ -222,6 +222,18 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return train([x for lang in sorted(kept) for x in kept[lang]])
 
 
+def groups(texts: list[str], most: int = 400_000):
+    """Ranges of texts of about `most` characters."""
+    a = 0
+    while a < len(texts):
+        b, held = a, 0
+        while b < len(texts) and (b == a or held + len(texts[b]) <= most):
+            held += len(texts[b])
+            b += 1
+        yield a, b
+        a = b
+
+
 def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row for each row of docs (doc_id, text, lang): doc_id, held_out, lang_pred, score, cross_entropy, rejected.
 
@@ -242,15 +254,27 @@ def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            a = 0
-            while a < len(texts):
-                b, held = a, 0
-                while b < len(texts) and (b == a or held + len(texts[b]) <= 400_000):
-                    held += len(texts[b])
-                    b += 1
+            for a, b in groups(texts):
                 lang, score, entropy, rejected = sent.value.judge(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), batch.column("held_out").slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64(), mask=np.isnan(entropy)), pa.array(rejected, pa.bool_())], schema=schema)
-                a = b
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
 
+
+
+def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs (doc_id, text, lang, any more) that languages() does not reject, as they are."""
+    spark = docs.sparkSession
+    tuned(spark)
+    model = fitted(docs, sample)
+    if model is None:
+        return docs.limit(0)
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            keep = [~sent.value.judge(texts[a:b])[3] for a, b in groups(texts)]
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
