@@ -13,16 +13,12 @@ from velamen.llm import common, decontaminate, jaccard_join, language_id, packin
 
 def language(spark, docs, sf_dir):
     """Documents whose language can't be told go: no letters, or nothing like any language learned."""
-    judged = language_id.languages(docs)
-    out = common.written(judged.where("rejected AND doc_id IS NOT NULL").select("doc_id").distinct(), "rejected")
-    return common.only(docs, out, "doc_id", "left_anti")
+    return language_id.accepted(docs)
 
 
 def near_duplicates(spark, docs, sf_dir):
     """Of each group that links of 75 % common five-word shingles make, the document with the smallest id stays."""
-    groups = jaccard_join.jaccard_groups(docs)
-    out = common.written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return common.only(docs, out, "doc_id", "left_anti")
+    return jaccard_join.one_of_each(docs)
 
 
 def benchmark(spark, docs, sf_dir):
