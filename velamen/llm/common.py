@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows up to which a key set may be broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Text bytes that numpy works on at a time.
@@ -24,7 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tuned(spark: SparkSession) -> None:
-    """Small Arrow batches: some documents are very long."""
+    """Small Arrow batches: some documents are very long. The executors get this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
