@@ -12,7 +12,7 @@ from urllib.parse import unquote
 import regex
 
 from .text import FOLD_FROM, FOLD_TO
-from .vocabulary import ADDRESS_WORDS, LABEL, NAME_PARTICLES, PROSE_VERBS
+from .vocabulary import ADDRESS_WORDS, LABEL, NAME_PARTICLES, PRIORITY, PROSE_VERBS
 
 _FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
 _PARTICLES, _ADDRESS, _VERBS = frozenset(NAME_PARTICLES), frozenset(ADDRESS_WORDS), frozenset(PROSE_VERBS)
@@ -285,6 +285,65 @@ def merged_keys(people: list[tuple[str, str]]) -> dict[str, str]:
     return out
 
 
+# --- the span algebra once more, for runs that have the whole document at hand
+
+
+def arbitrated(spans: list[dict]) -> list[dict]:
+    """operators.spans.arbitrate for one document."""
+    taken: list[dict] = []
+    for s in sorted(spans, key=lambda s: (-PRIORITY[s["type"]], s["start"] - s["end"], s["start"])):
+        if not any(o["start"] < s["end"] and s["start"] < o["end"] for o in taken):
+            taken.append(s)
+    return sorted(taken, key=lambda s: s["start"])
+
+
+def without_excluded(spans: list[dict], people, organizations, terms) -> list[dict]:
+    """operators.spans.exclude for one document; the names are canonical."""
+    gone = {s["entity_key"] for s in spans if s["type"] == "PERSON" and canonical_words(s["value"]) in people}
+    named = {"ORGANIZATION": organizations, "TERM": terms}
+    return [s for s in spans if not (s["type"] == "PERSON" and s["entity_key"] in gone) and canonical_words(s["value"]) not in named.get(s["type"], ())]
+
+
+def pseudonyms(spans: list[dict]) -> dict[str, str]:
+    out, counts = {}, {}
+    for s in spans:
+        if s["entity_key"] not in out:
+            name = LABEL[s["type"]]
+            counts[name] = counts.get(name, 0) + 1
+            out[s["entity_key"]] = f"[{name}_{counts[name]:03d}]"
+    return out
+
+
+def redacted(text: str, spans: list[dict], labels: dict[str, str]) -> str:
+    out, at = [], 0
+    for s in sorted(spans, key=lambda s: s["start"]):
+        breaks = "".join(c for c in text[s["start"] : s["end"]] if c in "\r\n")
+        out += [text[at : s["start"]], labels[s["entity_key"]], breaks]
+        at = s["end"]
+    return "".join([*out, text[at:]])
+
+
+def person_span(name: str, a: int, b: int, text: str, provenance: str, confidence: float) -> dict:
+    value = text[a:b]
+    return {"span_id": f"{name}-{a}-{b}", "type": "PERSON", "start": a, "end": b, "value": value, "entity_key": f"PERSON:{canonical_words(value)}", "provenance": provenance, "confidence": confidence}
+
+
+def analyzed(source: str, text: str, starts, ends, first: list[dict], people: list[dict], last: list[dict], exclusions) -> list[dict]:
+    """Spans of a source, from what detectors found in its normalized text, in the order of the detectors."""
+    found = arbitrated([*first, *people, *last])
+    seeds = [(s["value"], s["entity_key"], s["span_id"]) for s in found if s["type"] == "PERSON"]
+    for value, key, name in seeds:
+        for i, (a, b, _) in enumerate(propagated(text, [(value, key)])):
+            found.append({**person_span("prop", a, b, text, "PROPAGATED", 0.70), "span_id": f"prop-{name}-{i}", "entity_key": key})
+    found = arbitrated(found)
+    to = merged_keys([(s["entity_key"], s["value"]) for s in found if s["type"] == "PERSON"])
+    out = []
+    for s in found:
+        a, b = (s["start"], s["end"]) if starts is None else (starts[s["start"]], ends[s["end"] - 1])
+        out.append({**s, "entity_key": to.get(s["entity_key"], s["entity_key"]), "start": a, "end": b, "value": source[a:b]})
+    return without_excluded(arbitrated(out), *exclusions)
+
+
 # --- verification
 
 

@@ -18,7 +18,10 @@ def arrow_udf(returns: str) -> Callable:
         @wraps(f)
         def call(*columns) -> Column:
             ship(SparkSession.getActiveSession())
-            return F.udf(f, returns, useArrow=True)(*columns)
+            n = len(columns)
+            # What is used twice is not merged into one expression with its use: nested lambda functions within the
+            # arguments of a Python function can't be evaluated. Equal arguments are sent once.
+            return F.udf(lambda *a: f(*a[:n]), returns, useArrow=True)(*columns, *columns)
 
         return call
 

@@ -8,28 +8,22 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions.text import canonical, significant_tokens
 from .detect import SPANS
-from .spans import arbitrate
 from ..functions.udfs import arrow_udf
 
 
 @arrow_udf(SPANS)
-def _mentions(text, people):
-    out = []
-    for p in people or []:
+def _mentions(text, spans):
+    out = [s.asDict() for s in spans or []]
+    for p in [s for s in out if s["type"] == "PERSON"]:
         for i, (a, b, key) in enumerate(K.propagated(text, [(p["value"], p["entity_key"])])):
             out.append({"span_id": f"prop-{p['span_id']}-{i}", "type": "PERSON", "start": a, "end": b, "value": text[a:b], "entity_key": key, "provenance": "PROPAGATED", "confidence": 0.70})
-    return out
+    return K.arbitrated(out)
 
 
 def propagate(text: Column, spans: Column) -> Column:
-    """Every mention of each person among the spans, by its whole name, its surnames and its single words."""
-    people = F.filter(spans, lambda s: s["type"] == "PERSON")
-    return F.when(F.size(people) > 0, _mentions(F.when(F.size(people) > 0, text), people)).otherwise(F.array().cast(SPANS))
-
-
-def with_mentions(text: Column, spans: Column) -> Column:
-    """The spans and their further mentions, arbitrated once more."""
-    return arbitrate(F.concat(spans, propagate(text, spans)))
+    """The spans and every mention of each person among them, by its whole name, its surnames and its single words,
+    arbitrated."""
+    return _mentions(text, spans)
 
 
 @arrow_udf(SPANS)
@@ -40,9 +34,7 @@ def _unified(spans):
 
 def unify(spans: Column) -> Column:
     """Persons whose words are a strict subset of exactly one other person's take its key."""
-    people = F.array_distinct(F.transform(F.filter(spans, lambda s: s["type"] == "PERSON"), lambda s: s["entity_key"]))
-    several = F.size(people) > 1
-    return F.when(several, _unified(F.when(several, spans))).otherwise(spans)
+    return _unified(spans)
 
 
 def unique_supersets(entities: DataFrame) -> DataFrame:

@@ -51,44 +51,37 @@ class Gazetteer:
         return canonical in self.given or canonical in self.surnames
 
 
-def _span(name: str, a: int, b: int, text: str, provenance: str, confidence: float) -> dict:
-    value = text[a:b]
-    return {"span_id": f"{name}-{a}-{b}", "type": "PERSON", "start": a, "end": b, "value": value, "entity_key": f"PERSON:{K.canonical_words(value)}", "provenance": provenance, "confidence": confidence}
+def candidates(text: Column) -> Column:
+    """struct(honorific, document, role, plain): where the patterns see names, each an array of (start, value)."""
+    return F.struct(*[matches(text, pattern, 1, prefix).alias(name) for name, pattern, prefix, _ in CUES], matches(text, CANDIDATE).alias("plain"))
 
 
-def structural_persons(text: Column, gazetteer: Gazetteer) -> Column:
-    """Names behind a form of address or a role, or in front of an identity document."""
-
-    def refine(value, *found):
-        out = []
-        for (name, _, _, confidence), candidates in zip(CUES, found, strict=True):
-            for c in candidates or []:
-                a = c["start"]
-                b = K.refined_after_cue(value, a, a + len(c["value"]), name == "honorific", gazetteer.known)
-                if b >= 0:
-                    out.append(_span(f"pers-{name}", a, b, value, "STRUCTURAL_CUE", confidence))
-        return out
+def structural_spans(text: str, found, gazetteer: Gazetteer) -> list[dict]:
+    """Spans of one text from its candidates behind or before a cue."""
+    out = []
+    for name, _, _, confidence in CUES:
+        for c in found[name] or []:
+            a = c["start"]
+            b = K.refined_after_cue(text, a, a + len(c["value"]), name == "honorific", gazetteer.known)
+            if b >= 0:
+                out.append(K.person_span(f"pers-{name}", a, b, text, "STRUCTURAL_CUE", confidence))
+    return out
 
-    found = [matches(text, pattern, 1, prefix) for _, pattern, prefix, _ in CUES]
-    return _refined(refine, text, found)
 
+def dictionary_spans(text: str, found, gazetteer: Gazetteer) -> list[dict]:
+    """Spans of one text from its plain candidates."""
+    out = []
+    for c in found["plain"] or []:
+        if x := K.dictionary_person(text, c["start"], c["start"] + len(c["value"]), gazetteer.given, gazetteer.surnames, gazetteer.excluded):
+            out.append(K.person_span("pers-dic", x[0], x[1], text, "GAZETTEER", x[2]))
+    return out
 
-def dictionary_persons(text: Column, gazetteer: Gazetteer) -> Column:
-    """Names that begin with a known given name, or have a known surname further on."""
-
-    def refine(value, candidates):
-        out = []
-        for c in candidates or []:
-            if x := K.dictionary_person(value, c["start"], c["start"] + len(c["value"]), gazetteer.given, gazetteer.surnames, gazetteer.excluded):
-                out.append(_span("pers-dic", x[0], x[1], value, "GAZETTEER", x[2]))
-        return out
 
-    return _refined(refine, text, [matches(text, CANDIDATE)])
+def structural_persons(text: Column, gazetteer: Gazetteer) -> Column:
+    """Names behind a form of address or a role, or in front of an identity document."""
+    return arrow_udf(SPANS)(lambda t, found: structural_spans(t or "", found, gazetteer))(text, candidates(text))
 
 
-def _refined(refine, text: Column, found: list[Column]) -> Column:
-    """Only texts with candidates travel to Python."""
-    some = sum((F.size(f) for f in found), F.lit(0)) > 0
-    empty = F.array().cast("array<struct<start:int,value:string>>")
-    call = arrow_udf(SPANS)(lambda t, *c: [] if t is None else refine(t, *c))
-    return call(F.when(some, text), *[F.when(some, f).otherwise(empty) for f in found])
+def dictionary_persons(text: Column, gazetteer: Gazetteer) -> Column:
+    """Names that begin with a known given name, or have a known surname further on."""
+    return arrow_udf(SPANS)(lambda t, found: dictionary_spans(t or "", found, gazetteer))(text, candidates(text))

@@ -59,7 +59,7 @@ def output_ranges(text: Column, spans: Column, labels: Column) -> Column:
     empty = F.struct(F.lit(0).alias("shift"), F.array().cast("array<struct<span_id:string,start:int,end:int>>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        name = F.element_at(F.filter(labels, lambda x: x["entity_key"] == s["entity_key"]), 1)["label"]
+        name = F.get(F.filter(labels, lambda x: x["entity_key"] == s["entity_key"]), F.lit(0))["label"]
         breaks = F.regexp_replace(F.substring(text, s["start"] + 1, s["end"] - s["start"]), "[^\\r\\n]", "")
         size = F.char_length(name) + F.char_length(breaks)
         begin = s["start"] + acc["shift"]
@@ -87,7 +87,8 @@ def compared_ranges(text: Column, output: Column, spans: Column, labels: Column,
     stays = F.aggregate(F.transform(apart, shifted), moved, lambda acc, s: F.when(F.exists(acc, lambda o: (o["start"] < s["end"]) & (o["end"] > s["start"])), acc).otherwise(F.concat(acc, F.array(s))))
     named = F.forall(own, lambda s: F.exists(labels, lambda x: x["entity_key"] == s["entity_key"]))
     ordered = F.array_sort(F.transform(stays, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["span_id"].alias("span_id"))))
-    return F.when(named, F.when(redact(text, F.when(named, own), labels) == output, ordered)).otherwise(F.array().cast("array<struct<start:int,end:int,span_id:string>>"))
+    found = F.when(named, F.when(redact(text, F.when(named, own), labels) == output, ordered))
+    return F.coalesce(found, F.array().cast("array<struct<start:int,end:int,span_id:string>>"))
 
 
 def leaked_values(edited: Column, values: Column) -> Column:

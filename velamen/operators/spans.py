@@ -68,7 +68,7 @@ def redact(text: Column, spans: Column, labels: Column) -> Column:
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        name = F.element_at(F.filter(labels, lambda x: x["entity_key"] == s["entity_key"]), 1)["label"]
+        name = F.get(F.filter(labels, lambda x: x["entity_key"] == s["entity_key"]), F.lit(0))["label"]
         value = F.substring(text, s["start"] + 1, s["end"] - s["start"])
         named = F.when(name.isNull(), F.raise_error(F.concat(F.lit("a span without a label: "), s["span_id"])).cast("string")).otherwise(name)
         return F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), named, F.regexp_replace(value, "[^\\r\\n]", "")).alias("out"))

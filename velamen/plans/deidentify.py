@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..operators import detect, entities, guard, headers, persons, review, spans, verify
+from ..operators import detect, guard, headers, persons, review, verify
 from ..functions.udfs import arrow_udf
 
 
@@ -34,29 +34,43 @@ def mapped_normalization(source):
     return {"text": text, "starts": starts, "ends": ends}
 
 
-def all_candidates(text, rules: Rules, gazetteer: persons.Gazetteer):
-    """What every detector finds, in the order that decides ties."""
-    return F.concat(
-        detect.all_spans(text, [*detect.DETERMINISTIC, *detect.CONTEXTUAL]),
-        persons.structural_persons(text, gazetteer),
-        persons.dictionary_persons(text, gazetteer),
-        detect.all_spans(text, [*detect.organizations(rules.organization), *detect.terms(rules.term)]),
-    )
-
-
 def analyze(docs: DataFrame, rules: Rules | None = None, surnames: list[str] = ()) -> DataFrame:
-    """docs (doc_id, text, any more) with `candidates`: arbitrated spans in the text's own offsets. Null text is empty."""
+    """docs (doc_id, text, any more) with `candidates`: arbitrated spans in the text's own offsets. Null text is empty.
+
+    Patterns run in the JVM over the normalized text; what depends on the whole document (names' ends, mentions,
+    arbitration, the way back to the source) is one pass over the spans that they found.
+    """
     rules = rules or Rules()
     gazetteer = persons.Gazetteer(surnames=surnames, more_given=rules.person)
-    out = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n", mapped_normalization("text"))
-    out = out.withColumn("norm", F.col("n.text")).withColumn("found", all_candidates(F.col("norm"), rules, gazetteer))
-    out = out.withColumn("found", spans.arbitrate(F.col("found")))
-    out = out.withColumn("found", entities.with_mentions(F.col("norm"), F.col("found")))
-    out = out.withColumn("found", entities.unify(F.col("found")))
-    out = out.withColumn("found", spans.map_to_source(F.col("found"), F.col("n.starts"), F.col("n.ends"), F.col("text")))
-    out = out.withColumn("found", spans.arbitrate(F.col("found")))
-    out = out.withColumn("candidates", spans.exclude(F.col("found"), rules.exclude_person, rules.exclude_organization, rules.exclude_term))
-    return out.drop("n", "norm", "found")
+    forms = lambda names: frozenset(K.canonical_words(n) for n in names)
+    excluded = (forms(rules.exclude_person), forms(rules.exclude_organization), forms(rules.exclude_term))
+
+    @arrow_udf(detect.SPANS)
+    def analyzed(source, norm, first, names, last):
+        people = [*persons.structural_spans(norm["text"], names, gazetteer), *persons.dictionary_spans(norm["text"], names, gazetteer)]
+        plain = lambda found: [s.asDict() for s in found or []]
+        return K.analyzed(source, norm["text"], norm["starts"], norm["ends"], plain(first), people, plain(last), excluded)
+
+    out = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("norm", mapped_normalization("text"))
+    norm = F.col("norm.text")
+    out = out.withColumn("first", detect.all_spans(norm, [*detect.DETERMINISTIC, *detect.CONTEXTUAL])).withColumn("names", persons.candidates(norm))
+    out = out.withColumn("last", detect.all_spans(norm, [*detect.organizations(rules.organization), *detect.terms(rules.term)]))
+    return out.withColumn("candidates", analyzed("text", "norm", "first", "names", "last")).drop("norm", "first", "names", "last")
+
+
+@arrow_udf(f"struct<labels:array<struct<entity_key:string,label:string>>,output:string,findings:{verify.FINDINGS},deliverable:boolean>")
+def _finished(text, accepted, candidates, rejected):
+    text, accepted = text or "", [s.asDict() for s in accepted or []]
+    labels = K.pseudonyms(accepted)
+    output = K.redacted(text, accepted, labels)
+    original = None if candidates is None else [s.asDict() for s in candidates]
+    found = K.findings(output, accepted, labels, original, rejected or [], text)
+    return {"labels": [{"entity_key": k, "label": v} for k, v in labels.items()], "output": output, "findings": [dict(zip(verify.FIELDS, f, strict=True)) for f in found], "deliverable": all(f[1] != "BLOCKING" for f in found)}
+
+
+def finished(text: Column, accepted: Column, candidates: Column | None = None, rejected: Column | None = None) -> Column:
+    """struct(labels, output, findings, deliverable) of a text and its accepted spans."""
+    return _finished(text, accepted, F.lit(None).cast(detect.SPANS) if candidates is None else candidates, F.array().cast("array<string>") if rejected is None else rejected)
 
 
 def complete(analysis: DataFrame) -> DataFrame:
@@ -66,10 +80,8 @@ def complete(analysis: DataFrame) -> DataFrame:
         out = out.withColumn("accepted", review.accept_all(F.col("candidates")))
     if "rejected" not in out.columns:
         out = out.withColumn("rejected", F.array().cast("array<string>"))
-    out = out.withColumn("labels", spans.pseudonyms(F.col("accepted")))
-    out = out.withColumn("output", spans.redact(F.col("text"), F.col("accepted"), F.col("labels")))
-    out = out.withColumn("findings", verify.verify(F.col("output"), F.col("accepted"), F.col("labels"), F.col("candidates"), F.col("rejected"), F.col("text")))
-    return out.withColumn("deliverable", verify.passed(F.col("findings")))
+    out = out.withColumn("done", finished(F.col("text"), F.col("accepted"), F.col("candidates"), F.col("rejected")))
+    return out.select("*", "done.labels", "done.output", "done.findings", "done.deliverable").drop("done")
 
 
 def reviewed(analysis: DataFrame, logs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from .plans import deidentify as plan
 
 FIXTURES = [
     (-1, "Documento: DNI 12345678Z; NIE X1234567L; IBAN ES9121000418450200051332; Email juan.perez@example.com; Número de cliente: ABC12345; Matrícula:1234 BCD; Teléfono:612345678; Dirección:Calle Mayor15; Código postal:28013; D. Juan Perez Lopez"),
-    (-2, "El pasaporte PAA123456 y el passport AB1234567. Banco Pastor y banco  popular; Banco Pastoral. Plaza de la Villa, 3. En 15707 Santiago."),
+    (-2, "El pasaporte PAA123456 y el passport AB1234567. Banco Pastor y banco  popular; Banco Pastoral. Plaza de la Villa, 3. En 15707 Santiago. GNU general  PUBLIC license v3."),
     (-3, "A C T A   D E   S E S I O N\nlas manifesta-\nciones de Dña. Ana Ruiz Gil, con DNI 00000000T.\n\n\n\nLa Sra. Ruiz Gil firma. Ruiz Gil. Tel. 612 34 56 78"),
     (-4, "DNI12345678Z, 12345678A, ES9121000418450200051333, Cliente: ABC12345, 28013, Mayor 15, D. juan, 1234 BCD. Juan"),
 ]
@@ -137,24 +137,25 @@ def _made(spark, sf_dir, value):
     return table(spark, sf_dir, "documents").select("doc_id", value.alias("value"))
 
 
-_ID = F.col("doc_id").cast("string")
+def _id():
+    return F.col("doc_id").cast("string")
 
 
 @query(f"SELECT doc_id, value, {DNI_OK} AS valid FROM (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 8, '0') || chr(CAST(65 + doc_id % 26 AS INTEGER)) AS value FROM documents)")
 def valid_dni(spark, sf_dir):
-    made = _made(spark, sf_dir, F.concat(F.lpad(_ID, 8, "0"), F.char(65 + F.col("doc_id") % 26)))
+    made = _made(spark, sf_dir, F.concat(F.lpad(_id(), 8, "0"), F.char(65 + F.col("doc_id") % 26)))
     return made.withColumn("valid", V.valid_dni(F.col("value")))
 
 
 @query(f"SELECT doc_id, value, {NIE_OK} AS valid FROM (SELECT doc_id, chr(CAST(88 + doc_id % 3 AS INTEGER)) || lpad(CAST(doc_id AS VARCHAR), 7, '0') || '-' || chr(CAST(65 + doc_id % 26 AS INTEGER)) AS value FROM documents)")
 def valid_nie(spark, sf_dir):
-    made = _made(spark, sf_dir, F.concat(F.char(88 + F.col("doc_id") % 3), F.lpad(_ID, 7, "0"), F.lit("-"), F.char(65 + F.col("doc_id") % 26)))
+    made = _made(spark, sf_dir, F.concat(F.char(88 + F.col("doc_id") % 3), F.lpad(_id(), 7, "0"), F.lit("-"), F.char(65 + F.col("doc_id") % 26)))
     return made.withColumn("valid", V.valid_nie(F.col("value")))
 
 
 @query(f"SELECT doc_id, value, {_iban_ok(CLEAN)} AS valid FROM (SELECT doc_id, 'ES' || lpad(CAST(doc_id % 97 AS VARCHAR), 2, '0') || ' ' || lpad(CAST(doc_id AS VARCHAR), 20, '0') AS value FROM documents)")
 def valid_iban(spark, sf_dir):
-    made = _made(spark, sf_dir, F.concat(F.lit("ES"), F.lpad((F.col("doc_id") % 97).cast("string"), 2, "0"), F.lit(" "), F.lpad(_ID, 20, "0")))
+    made = _made(spark, sf_dir, F.concat(F.lit("ES"), F.lpad((F.col("doc_id") % 97).cast("string"), 2, "0"), F.lit(" "), F.lpad(_id(), 20, "0")))
     return made.withColumn("valid", V.valid_iban(F.col("value")))
 
 
@@ -328,14 +329,14 @@ def deliverable(spark, sf_dir):
     """Outputs that hold nothing of what was found may be handed out; only an empty one may not."""
     out = _redacted(spark, sf_dir)
     found = verify.verify(F.col("output"), F.col("accepted"), F.col("labels"), source=F.col("text"))
-    return out.select("doc_id", verify.passed(found).alias("deliverable"))
+    return out.select("doc_id", found["passed"].alias("deliverable"))
 
 
 def _control(spark, sf_dir, control: str) -> DataFrame:
     """Findings of a control where the text itself is handed out as if it were redacted."""
     out = _accepted(spark, sf_dir).where(F.size("accepted") > 0).withColumn("labels", spans.pseudonyms(F.col("accepted")))
     found = verify.verify(F.col("text"), F.col("accepted"), F.col("labels"), source=F.col("text"))
-    return out.select("doc_id", F.size(F.filter(found, lambda f: f["control"] == control)).cast("long").alias("n_findings"))
+    return out.select("doc_id", found["n"].alias("n")).select("doc_id", F.coalesce(F.col("n")[control], F.lit(0)).cast("long").alias("n_findings"))
 
 
 @query(f"WITH {_CTES} SELECT doc_id, count(*) FILTER (length(regexp_replace(strip_accents(value), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) >= 8) AS n_findings FROM s GROUP BY doc_id")
@@ -357,17 +358,16 @@ def verify_literal(spark, sf_dir):
 def verify_nonempty(spark, sf_dir):
     none = F.array().cast(detect.SPANS)
     found = verify.verify(F.col("text"), none, F.array().cast("array<struct<entity_key:string,label:string>>"))
-    return source(spark, sf_dir).select("doc_id", F.size(F.filter(found, lambda f: f["control"] == "C5-SALIDA-NO-VACIA")).cast("long").alias("n_findings"))
+    return source(spark, sf_dir).select("doc_id", found["n"].alias("n")).select("doc_id", F.coalesce(F.col("n")["C5-SALIDA-NO-VACIA"], F.lit(0)).cast("long").alias("n_findings"))
 
 
 @query()
 def verify_name_tokens(spark, sf_dir):
     """Parts of names that are left if only the whole names are taken out."""
     gazetteer = persons.Gazetteer()
-    out = source(spark, sf_dir).withColumn("accepted", spans.arbitrate(persons.structural_persons(F.col("text"), gazetteer))).where(F.size("accepted") > 0)
-    out = out.withColumn("labels", spans.pseudonyms(F.col("accepted"))).withColumn("output", spans.redact(F.col("text"), F.col("accepted"), F.col("labels")))
-    found = verify.verify(F.col("output"), F.col("accepted"), F.col("labels"), source=F.col("text"))
-    return out.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.control", "f.severity", "f.output_start", "f.output_end")
+    out = source(spark, sf_dir).withColumn("accepted", persons.structural_persons(F.col("text"), gazetteer))
+    found = plan.finished(F.col("text"), F.col("accepted"))
+    return out.select("doc_id", F.explode(found["findings"]).alias("f")).select("doc_id", "f.control", "f.severity", "f.output_start", "f.output_end")
 
 
 # --- entities
@@ -392,9 +392,9 @@ def resolve_persons(spark, sf_dir):
 
 @query()
 def propagate_entities(spark, sf_dir):
-    out = source(spark, sf_dir).withColumn("seeds", spans.arbitrate(persons.structural_persons(F.col("text"), persons.Gazetteer())))
-    out = out.withColumn("all", entities.unify(entities.with_mentions(F.col("text"), F.col("seeds"))))
-    return out.select("doc_id", F.explode("all").alias("s")).select("doc_id", "s.start", "s.end", "s.value", "s.entity_key", "s.provenance")
+    rows = source(spark, sf_dir).withColumn("seeds", persons.structural_persons(F.col("text"), persons.Gazetteer()))
+    rows = rows.withColumn("all", entities.unify(entities.propagate(F.col("text"), F.col("seeds"))))
+    return rows.select("doc_id", F.explode("all").alias("s")).select("doc_id", "s.start", "s.end", "s.value", "s.entity_key", "s.provenance")
 
 
 @query(
