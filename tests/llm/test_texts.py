@@ -1,0 +1,429 @@
+"""Personal data, languages, benchmark items, packing, token counts, urls, archives and the pipeline."""
+
+import gzip
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from velamen.llm import common, decontaminate, language_id, packing, personal, token_counts, tokens, url_filter, warc
+
+
+# --- words
+
+
+def test_words_and_shingles():
+    rows = ["Uno  dos\tTRES", None, "", "ÀB\u00a0c d\x0be", "x"]
+    raw, at = common.text_bytes(pa.array(rows))
+    hashes, starts, ends, first = common.words(raw, at)
+    found = [[raw[a:b].tobytes().decode() for a, b in zip(starts[i:j], ends[i:j])] for i, j in zip(first, first[1:])]
+    assert found == [["Uno", "dos", "TRES"], [], [], ["ÀB\u00a0c", "d", "e"], ["x"]]
+    again = common.words(*common.text_bytes(pa.array(["uno DOS tres"])))[0]
+    assert (again == hashes[:3]).all()
+    sets = common.shingle_sets(*common.text_bytes(pa.array(["a b c d e f a b c d e", "A b c d e", "a b", "B a", ""])), 5)
+    assert [len(s) for s in sets] == [6, 1, 1, 1, 0] and sets[1][0] in sets[0] and sets[2] != sets[3]
+    assert [x.tolist() for x in common.shingle_sets(*common.text_bytes(pa.chunked_array([["q w", "e r"]]).slice(1)), 2)] == [common.shingle_sets(*common.text_bytes(pa.array(["e r"])), 2)[0].tolist()]
+
+
+# --- personal data
+
+PATTERNS = [
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+    (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(re.sub("[^0-9]", "", m)) <= 19 and personal.luhn(re.sub("[^0-9]", "", m))),
+    (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+]
+PLAIN = ["a@b.c@d.e x.y%z@h-1.org.", "1.2.3.4.5.6.7.8 999.1.1.1 010.0.0.255", "4111 1111 1111 1111 4111-1111-1111-1112", "+1 (555) 123-4567 +12 +49 30 123456 7", "", None, "ñ a@b.cd é 10.0.0.1 😀 +34612345678"]
+
+
+def base(text):
+    return sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(PATTERNS) for m in re.finditer(p, text or "") if ok(m.group()))
+
+
+def test_patterns_against_their_plain_form():
+    r = random.Random(3)
+    for _ in range(5000):
+        text = "".join(r.choice("ab1@.+- ()9é") for _ in range(r.randint(0, 40)))
+        assert personal.base_spans(text) == base(text), text
+
+
+def test_personal_spans(spark, nothing, texts):
+    rows = [*enumerate(PLAIN), *((100 + n, t) for n, (_, t) in enumerate(texts))]
+    got = {r["doc_id"]: r for r in personal.personal_spans(spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1))).collect()}
+    for i, t in rows:
+        spans = base(t)
+        joined = ",".join(f"{personal.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        r = got[i]
+        assert [r[f"n_{k}"] for k in personal.KINDS] == [sum(s[1] == k for s in spans) for k in range(4)]
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(joined.split(",")) - {""} <= set(r["spans"].split(","))
+        if i >= 100:
+            assert r["n_added"] == 0
+    assert personal.personal_spans(nothing).count() == 0
+
+
+def test_the_field_finds_written_out_forms():
+    cases = [("write to anna dot roth at mail dot example dot org soon", "email"), ("ring (372) 555-7739 today", "phone"), ("pay 4111.1111.1111.1111 now", "card"), ("from 10[.]0[.]3[.]8 it came", "ip"), ("tel 372-555-7739.", "phone"), ("joe(at)example(dot)com", "email")]
+    quiet = ["at the dot of noon we met at home", "id 1234567890123456 and 20240102", "version 1.2.3 of 2024-01-02 12:30", "IT IS AT THE DOT OF THE I", '= "6a4589e4112292221d28c7e47303eee368e0b7fd"']
+    raw, at = common.text_bytes(pa.array([t for t, _ in cases] + quiet))
+    found = personal.find_spans(raw, at, personal.default_field())
+    assert [[personal.KINDS[k] for _, k, _ in every] for _, every in found] == [[k] for _, k in cases] + [[]] * len(quiet)
+
+
+def test_the_field_on_held_out_sentences():
+    """Word accuracy on sentences of another seed, and Viterbi against all paths of short ones."""
+    field = personal.default_field()
+    right = total = 0
+    for tokens_, labels in personal.labelled_sentences(150, seed=99):
+        raw, at = common.text_bytes(pa.array([" ".join(tokens_)]))
+        hashes, starts, ends, first = common.words(raw, at)
+        got = field.decode(field.ids(hashes, personal._shapes(raw, starts, ends)), first)
+        right += sum(personal.LABELS[g] == y for g, y in zip(got, labels, strict=True))
+        total += len(labels)
+    assert right / total > 0.97
+    import itertools
+
+    raw, at = common.text_bytes(pa.array(["(372) 555-7739 x"]))
+    hashes, starts, ends, first = common.words(raw, at)
+    ids = {k: v[None, :] for k, v in field.ids(hashes, personal._shapes(raw, starts, ends)).items()}
+    emit = field.scores(ids)[0]
+    best = max(itertools.product(range(9), repeat=3), key=lambda p: field.begin[p[0]] + sum(emit[i, y] for i, y in enumerate(p)) + sum(field.step[a, b] for a, b in zip(p, p[1:])))
+    got = field.decode(field.ids(hashes, personal._shapes(raw, starts, ends)), first)
+    assert [personal.LABELS[x] for x in got] == [personal.LABELS[x] for x in best]
+
+
+def test_long_texts_decode_in_windows():
+    text = "palabra " * 1000 + "call (372) 555-7739 now " + "otra " * 500
+    raw, at = common.text_bytes(pa.array([text]))
+    every = personal.find_spans(raw, at, personal.default_field())[0][1]
+    assert [text[a:b] for a, _, b in every] == ["(372) 555-7739"]
+
+
+def test_masked(spark, nothing):
+    df = spark.createDataFrame([(1, "a@b.cd, 10.0.0.1", 16, "x"), (2, None, None, "y"), (3, "", 0, None)], "doc_id long, text string, n_chars long, more string")
+    got = {r["doc_id"]: tuple(r) for r in personal.masked(df).collect()}
+    assert got == {1: (1, "<EMAIL>, <IP>", 13, "x"), 2: (2, None, None, "y"), 3: (3, "", 0, None)}
+    assert personal.masked(nothing).columns == nothing.columns
+    assert personal.mask("0123456789", [(1, 0, 5), (3, 3, 7)]) == "0<EMAIL>789"
+
+
+# --- languages
+
+SYLLABLES = {"aa": "ka lo mi nu pe".split(), "bb": "sch tra ung ver ost".split(), "cc": "eau ille que oir ç".split()}
+
+
+def language_rows(n, seed=1):
+    r = random.Random(seed)
+    word = lambda lang: "".join(r.choice(SYLLABLES[lang]) for _ in range(r.randint(1, 3)))
+    return [(i, " ".join(word(lang) for _ in range(r.randint(1, 60))).capitalize() + ".", lang) for i, lang in ((i, r.choice(list(SYLLABLES))) for i in range(n))]
+
+
+def test_languages(spark, nothing):
+    rows = language_rows(600)
+    extra = [(9001, None, "aa"), (9002, "", "aa"), (9003, "123 !?", None), (9004, "ka lo mi", None), (None, "schung traver", "bb"), (9005, "Ω≈ç", None), (9006, "ka lo " * 20000, None)]
+    df = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
+    got = {r["doc_id"]: r for r in language_id.languages(df).collect()}
+    assert len(got) == len(rows) + len(extra)
+    held = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert {i for i, r in got.items() if i is not None and r["held_out"]} == {i for i, _, _ in rows + extra if i is not None and zlib.crc32(str(i).encode()) % 4 == 2}
+    own = {i: lang for i, _, lang in rows}
+    assert sum(got[i]["lang_pred"] == own[i] for i in held) / len(held) > 0.98
+    assert [got[i]["lang_pred"] for i in (9001, 9002, 9003, 9004, 9006)] == ["und", "und", "und", "aa", "aa"]
+    assert got[None]["lang_pred"] == "bb" and not got[None]["held_out"]
+    assert all(0 <= r["score"] <= 1 for r in got.values()) and got[9001]["rejected"] and got[9001]["score"] == 0
+    assert sum(got[i]["rejected"] for i in own) == 0
+    assert language_id.languages(nothing).count() == 0
+    none = language_id.languages(df.withColumn("lang", F.lit(None).cast("string")))
+    assert {r["lang_pred"] for r in none.collect()} == {"und"}
+
+
+def test_language_of_held_out_rows_does_not_matter(spark):
+    rows = language_rows(200)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    wrong = df.withColumn("lang", F.when(F.expr("pmod(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)), 4) = 2"), "aa").otherwise(F.col("lang")))
+    a, b = ({tuple(r) for r in language_id.languages(x).collect()} for x in (df, wrong))
+    assert a == b
+
+
+def test_accepted(spark):
+    rows = [*language_rows(300), (900, "zqxj wvkzq jqxz " * 30, None), (901, None, "aa"), (902, "9 9", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("more", F.lit(1))
+    left = language_id.accepted(df)
+    assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == set(range(300))
+
+
+def test_kneser_ney_sums_to_one():
+    """The probabilities that follow a context add up to one over all known characters and the unknown one."""
+    rows = [(lang, text) for _, text, lang in language_rows(30)]
+    model = language_id.train(rows * 3)
+    chars = sorted({c for _, t in rows for c in t.lower() if c.isalpha()} | {" "})
+    for context in ("kal", "sch", " qu", "zzz"):
+        total = np.zeros(len(model.languages))
+        for c in [*chars, "\u4e00"]:
+            cp = np.array([ord(x) for x in context + c], np.uint32)
+            keys = language_id._keys(np.concatenate([[language_id.PAD], cp]))
+            score = np.zeros(len(model.languages))
+            for n in range(min(language_id.ORDER, 5), 0, -1):
+                row = model.grams[n - 1].find(keys[n - 1][-1:])
+                if row[0] >= 0:
+                    score += model.grams[n - 1].values[row[0]]
+                    break
+                if n > 1:
+                    row = model.contexts[n - 1].find(keys[n - 2][-2:-1])
+                    score += model.contexts[n - 1].values[row[0]] if row[0] >= 0 else 0
+            else:
+                score += model.unknown
+            total += np.exp(score)
+        assert np.allclose(total, 1, atol=0.05), (context, total)
+
+
+# --- benchmark items
+
+
+def test_contaminated(spark, docs, nothing):
+    r = random.Random(5)
+    prose = lambda n: " ".join("".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 7))) for _ in range(n))
+    items = [(i, prose(r.randint(8, 50)).capitalize() + "? " + prose(6) + ".") for i in range(150)] + [(500, prose(700)), (501, None), (502, "two words"), (503, ""), (None, prose(20))]
+    texts, expected = [], set()
+    for d in range(200):
+        words = prose(r.randint(0, 300)).split()
+        if d % 3 == 0:
+            i, t = items[r.randrange(151)]
+            own = t.upper().replace(" ", "\n ", 3).split(" ")
+            at = r.randint(0, len(words))
+            words = words[:at] + own + words[at:]
+            expected.add((d, i))
+        elif d % 3 == 1:  # half of an item
+            own = items[r.randrange(150)][1].split()
+            words += own[: len(own) // 2]
+        texts.append((d, " ".join(words)))
+    texts += [(1000, None), (1001, ""), (None, items[0][1])]
+    it = spark.createDataFrame(items, "item_id long, text string").withColumn("score", F.lit(1))
+    got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string").withColumn("overlap", F.lit(1)), it).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == expected | {(None, 0)}
+    assert all(0.75 <= r["overlap"] <= 1 and r["score"] >= 0.5 for r in got)
+    assert decontaminate.contaminated(docs, it.limit(0)).count() == 0 and decontaminate.contaminated(nothing, it).count() == 0
+
+
+def test_contaminated_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 3)
+    items = spark.createDataFrame([(i, f"uno dos tres cuatro cinco seis w{i} x{i} y{i} z{i}") for i in range(10)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"antes uno dos tres cuatro cinco seis w{i} x{i} y{i} z{i} y más") for i in range(12)], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()} == {(i, i) for i in range(10)}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, items).collect()} == {10, 11}
+
+
+def test_questions_and_answers():
+    cut = decontaminate.question_answer
+    assert cut("What is it? A thing.") == ("What is it?", " A thing.") and cut("Q here\nAnswer: yes") == ("Q here", "yes")
+    assert cut("One. Two. Three.") == ("One. Two.", "Three.") and cut("Only one") == ("Only one", "") and cut("Why?") == ("Why?", "")
+
+
+def test_search_is_exact():
+    """Block-max pruning loses no passage that full scoring finds."""
+    r = random.Random(2)
+    vocabulary = [f"v{i}" for i in range(80)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(6, 20)))) for i in range(300)]
+    index = decontaminate.Index.of(items, 32)
+    raw, at = common.text_bytes(pa.array([" ".join(r.choice(vocabulary) for _ in range(n)) for n in (0, 5, 31, 32, 33, 64, 200)]))
+    hashes, _, _, first = common.words(raw, at, marks=False)
+    got = {(int(d), int(a), int(i)): s for d, a, _, i, s in zip(*index.search(hashes, first, 0.7), strict=True)}
+    want = {}
+    for d, (x, y) in enumerate(zip(first, first[1:])):
+        for a in range(x, max(y, x + 1), 32):
+            if a > x and a + 0 >= y:
+                continue
+            terms = set(hashes[a : min(a + 64, y)].tolist())
+            for i in range(len(items)):
+                t = [k for k in range(len(index.terms)) if index.terms[k] in terms]
+                s = sum(float(index.score[p]) for k in t for p in range(index.first[k], index.first[k + 1]) if index.item[p] == i)
+                if s >= 0.7:
+                    want[d, a, i] = s
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+# --- tokens
+
+
+def test_token_ids_are_those_of_tokenizers():
+    path = tokens.default_vocabulary()
+    slow = tokens._slow(path)
+    r = random.Random(4)
+    sample = ["", "<|endoftext|>", "a" * 4000, " " * 300 + "x", "\n\n \t x's don't", "😀 日本語 ñ"] + ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 0x2FFF), r.randrange(0x4E00, 0x9FFF), r.randrange(0x1F300, 0x1FAFF), 32, 10])) for _ in range(60)) for _ in range(1500)]
+    assert [tokens.encode(x) for x in sample] == [e.ids for e in slow.encode_batch(sample, add_special_tokens=False)]
+
+
+def test_packing(docs, texts, nothing):
+    rows = packing.packed(docs, size=64).collect()
+    slow = tokens._slow(tokens.default_vocabulary())
+    want = Counter()
+    for i, t in texts:
+        ids = np.array([*slow.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        for a in range(0, len(ids), 64):
+            want[i, a, len(ids[a : a + 64]), zlib.crc32(ids[a : a + 64].tobytes()), len(ids)] += 1
+    assert Counter(tuple(r)[:5] for r in rows) == want
+    by = defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(by) == list(range(len(by)))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 64
+    total = sum(r["length"] for r in rows)
+    assert len(by) * 64 <= 1.1 * total + 64
+    assert packing.packed(nothing).count() == 0
+
+
+def test_shortest_pack_first():
+    r = random.Random(1)
+    for size in (1, 7, 64, 2048):
+        for _ in range(30):
+            counts = Counter(min(size, int(r.expovariate(4 / size)) + 1) for _ in range(r.randint(0, 3000)))
+            packs = packing.shortest_pack_first(dict(counts), size)
+            used = Counter()
+            for n, lengths in packs:
+                assert n > 0 and sum(lengths) <= size
+                used.update({x: 0 for x in lengths})
+                for x in lengths:
+                    used[x] += n
+            assert used == counts
+
+
+def test_token_counts(docs, texts, nothing):
+    lengths = [len(tokens.encode(t or "")) for _, t in texts]
+    rows = {r["length"]: r for r in token_counts.length_totals(token_counts.length_histogram(docs)).collect()}
+    assert set(rows) == set(lengths)
+    for x, r in rows.items():
+        assert r["n_docs"] == lengths.count(x) and r["docs_at_most"] == sum(v <= x for v in lengths) and r["docs_over"] == sum(v > x for v in lengths)
+        assert r["tokens_at_most"] == sum(v for v in lengths if v <= x) and r["tokens_over"] == sum(v for v in lengths if v > x)
+        assert r["truncated_total"] == sum(min(v, x) for v in lengths) and r["lost_tokens"] == sum(max(0, v - x) for v in lengths)
+        assert r["quantile"] == pytest.approx(sum(v <= x for v in lengths) / len(lengths))
+    totals = token_counts.length_totals(token_counts.length_histogram(docs))
+    for r in token_counts.at_limits(totals, [0, 1, 50, 100, 10**6]).collect():
+        assert r["truncated_total"] == sum(min(v, r["limit"]) for v in lengths) and r["docs_over"] == sum(v > r["limit"] for v in lengths)
+    assert token_counts.length_totals(token_counts.length_histogram(nothing)).count() == 0
+
+
+# --- urls
+
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+URLS = ["http://A.Example.NET/en/1?x#y", "https://example.net", "x://net/", "http://inet/", "http://my.example.com/de/2", "http://my.example.com/den", "http://w.org/fr/", "http://w.org#/fr/", "no scheme", "", None, "http://", "a://b://c/d", "http://h/a//b/", "HTTP://x.org/fr/a?b=://"]
+
+
+def split(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match("[^/?#]*", rest)[0]
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), re.match("[^?#]*", rest[len(host) :])[0]
+
+
+def rule(host, path):
+    fits = [r for r in RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+    return max(fits, key=lambda r: len(r[1] + r[2]), default=None)
+
+
+def test_urls(spark, nothing):
+    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").withColumn("template", F.lit(1)).withColumn("host", F.lit(2))
+    got = {r["page_id"]: r for r in url_filter.judged_urls(df, RULES).collect()}
+    assert len(got) == len(URLS)
+    for i, u in enumerate(URLS):
+        found = rule(*split(u))
+        assert (got[i]["host"], got[i]["path"]) == split(u), u
+        assert got[i]["rule"] == (found and found[1] + found[2]) and got[i]["verdict"] in ("allow", "block")
+        if found:
+            assert got[i]["verdict"] == found[0]
+    assert url_filter.judged_urls(df.limit(0), RULES).count() == 0
+
+
+def test_templates(spark):
+    rows = [(f"http://shop.example/{kind}/{i * 7919}/view-{i}.html", kind == "ads") for kind in ("ads", "news") for i in range(40)]
+    rows += [(f"http://blog.example/post/title-{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}-words", False) for i in range(60)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, "block" if bad else "allow") for i, (_, bad) in enumerate(rows) if i % 2], "page_id long, label string")
+    got = {r["page_id"]: r for r in url_filter.judged_urls(pages, [], labels).collect()}
+    assert all((got[i]["verdict"] == "block") == bad for i, (_, bad) in enumerate(rows))
+    assert len({r["template"] for r in got.values()}) <= 4
+    assert got[0]["template"] == "shop.example/ads/#/view-#.html" and got[100]["template"] == "blog.example/post/*"
+
+
+# --- archives
+
+
+def test_derivatives_round_trip(spark):
+    html_ = "<html lang='es'><head><title>Hola &amp; adi&oacute;s</title><style>p{}</style></head><body><!-- no --><script>var x='<p>';</script><h1>Uno</h1><p>Dos<br>tres <b>cuatro</b></p><a href=\"/x\">enlace</a></body></html>"
+    pages = spark.createDataFrame([(1, "http://a.example/", html_), (2, None, None), (3, "http://b.example/ñ", "sin etiquetas 😀"), (3, "http://b.example/ñ", "sin etiquetas 😀")], "page_id long, url string, html string").withColumn("record", F.lit(b"x"))
+    out = warc.derived(warc.responses(pages))
+    rows = out.collect()
+    assert Counter((r["page_id"], r["record_type"]) for r in rows) == Counter({(1, "metadata"): 1, (1, "conversion"): 1, (2, "metadata"): 1, (2, "conversion"): 1, (3, "metadata"): 2, (3, "conversion"): 2})
+    sources = {r["page_id"]: bytes(r["record"]) for r in warc.responses(pages).collect()}
+    for r in rows:
+        headers, block = warc.parse_record(bytes(r["record"]))
+        own, (source, response) = dict(headers), warc.parse_record(sources[r["page_id"]])
+        source = dict(source)
+        assert own["WARC-Refers-To"] == source["WARC-Record-ID"] == r["refers_to"] and own["WARC-Refers-To-Date"] == source["WARC-Date"]
+        assert own["WARC-Source-Payload-Digest"] == source["WARC-Payload-Digest"] == warc.digest(warc.parse_http(response)[2])
+        assert own["WARC-Block-Digest"] == warc.digest(block) and int(own["Content-Length"]) == len(block) == r["content_length"]
+        assert own.get("WARC-Target-URI") == source.get("WARC-Target-URI") == r["target_uri"]
+    text = {(r["page_id"], r["record_type"]): warc.parse_record(bytes(r["record"]))[1].decode() for r in rows}
+    assert text[1, "conversion"] == "Hola & adiós\nUno\nDos\ntres cuatro\nenlace" and text[2, "conversion"] == "" and text[3, "conversion"] == "sin etiquetas 😀"
+    assert "title: Hola & adiós\r\n" in text[1, "metadata"] and "outlink: /x\r\n" in text[1, "metadata"] and "source-header: Content-Type: text/html; charset=utf-8\r\n" in text[1, "metadata"]
+
+
+def test_records_of_other_shapes():
+    body = "<p>ñandú</p>".encode("latin-1")
+    zipped = gzip.compress(body)
+    chunked = b"%x;a=b\r\n%b\r\n0\r\n\r\n" % (len(zipped), zipped)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\nX-Long: a\r\n b\r\n\r\n" + chunked
+    record = warc.pack_record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("warc-target-uri", "http://x/")], http)
+    meta, text = warc.derivatives(record)
+    assert warc.parse_record(text["record"])[1].decode() == "ñandú" and text["refers_to"] == "<urn:x>" and text["target_uri"] == "http://x/"
+    assert b"source-header: X-Long: a b" in meta["record"] and text["source_payload_digest"] == warc.digest(chunked)
+    picture = warc.pack_record([("WARC-Type", "response")], b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG")
+    assert [r["record_type"] for r in warc.derivatives(picture)] == ["metadata"]
+    assert warc.derivatives(b"") == [] and warc.derivatives(b"junk") == [] and warc.derivatives(warc.pack_record([("WARC-Type", "request")], b"GET /")) == []
+    assert warc.derivatives(record) == warc.derivatives(record)
+
+
+def test_empty_archives(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.derived(warc.responses(none)).count() == 0
+    assert warc.derived(spark.createDataFrame([(1, None)], "page_id long, record binary")).count() == 0
+
+
+# --- pipeline
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, t + " " + " ".join(f"w{i}x{j}" for j in range(20)), lang, "s", len(t)) for i, t, lang in language_rows(200)]
+    item = "uno dos tres cuatro cinco seis siete ocho nueve diez"
+    ka = "ka lo mi nu pe " * 8
+    rows += [(500, ka + item, "aa", "s", 1), (501, rows[0][1], "aa", "s", 1), (502, None, "aa", "s", None), (503, ka * 2 + "mail a@b.cd now", None, "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"{k}"))
+        kept.append({r["doc_id"] for r in docs.select("doc_id").collect()})
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert docs.columns == columns, name
+    everything = {r[0] for r in rows}
+    assert everything - kept[0] == {502} and kept[0] - kept[1] == {501} and kept[1] - kept[2] == {500} and kept[2] == kept[3] == kept[4]
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert Counter(tuple(r)[:5] for r in whole.collect()) == Counter(tuple(r)[:5] for r in docs.collect())
+    masked = spark.read.parquet(str(tmp_path / "3")).where("doc_id = 503").first()["text"]
+    assert masked.endswith("mail <EMAIL> now")

@@ -95,6 +95,9 @@ def histogram_shards(docs: DataFrame, shards: int = 16, tolerance: float = 1e-4)
         groups = {x[0]: x[2] for x in inner.values()}
         crowd = rows.join(F.broadcast(_values(rows.sparkSession, [(g, 0) for g in groups]).select(F.col("base").alias("h"))), "h")
         finer = refined(crowd.select(F.col("h").alias("base"), F.col("d").alias("key"), "size"), [(j, total * j // pieces - x[1], slack(j), x[0]) for j, x in inner.items()], groups, total)
+        for j, x in finer.items():
+            if len(x) == 3:  # within one row, or rows that are alike: the nearer side
+                finer[j] = (x[0] + (2 * (total * j // pieces - inner[j][1] - x[1]) > x[2]),)
     bounds = sorted((x[0], finer[j][0]) if j in inner else (x[0], 0) for j, x in found.items())
     bounds += [(2**63 - 1, 2**63 - 1)] * (pieces - 1 - len(bounds))
 

@@ -27,7 +27,7 @@ def _with_minima(df: DataFrame, text: str, first: str, out: str) -> DataFrame:
 
     Each step is a column of its own, so that no expression stands twice in the plan.
     """
-    grams = F.when(F.char_length(text) >= K, F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{K}}}))"), 1)).when(F.char_length(text) > 0, F.array(F.col(text))).otherwise(F.array().cast("array<string>"))
+    grams = F.when(F.char_length(text) >= K, F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{K}}}))."), 1)).when(F.char_length(text) > 0, F.array(F.col(text))).otherwise(F.array().cast("array<string>"))
     at = F.col(first)
     df = df.withColumn(out, F.transform(grams, lambda g, i: F.xxhash64(g).bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES) - (at + i).bitwiseAND(F.lit(PLACES)))))
     span = 1
