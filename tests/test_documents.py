@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from velamen.operators import guard, headers, report
 from velamen.plans import deidentify as plan
 from velamen.plans.deidentify import Rules
-from velamen.sources import dictionaries, files, pictures
+from velamen.sources import dictionaries, files, pictures, sinks
 from velamen.streaming import files as stream
 
 
@@ -161,3 +161,32 @@ def test_stream(spark, tmp_path):
 def test_sessions_end(spark):
     rows = spark.createDataFrame([("a", "2024-01-01 10:00:00"), ("a", "2024-01-01 10:20:00"), ("a", "2024-01-01 11:30:00")], "session_id string, t string").withColumn("at", F.col("t").cast("timestamp"))
     assert sorted(r["n_events"] for r in stream.sessions_with_ttl(rows).collect()) == [1, 2]
+
+
+def test_sinks(spark, tmp_path):
+    import json
+
+    docs = spark.createDataFrame([(1, LEGAL), (2, "")], "doc_id long, text string").withColumn("source_sha256", F.sha2("text", 256)).withColumn("page_count", F.lit(1))
+    done = plan.deidentify(docs).cache()
+    sinks.write_results(done, str(tmp_path))
+    read = lambda name: spark.read.parquet(str(tmp_path / name))
+    assert [r["doc_id"] for r in read("outputs").collect()] == [1] and [r["doc_id"] for r in read("withheld").collect()] == [2] and read("reports").count() == 2
+    assert sinks.exit_code(done) == 2 and sinks.exit_code(done.where("doc_id = 1")) == 0
+    a = json.loads(sinks.analysis_json(done.where("doc_id = 1")).first()["json"])
+    assert a["text"] == LEGAL and all("value" not in d for d in a["detections"]) and {"DNI", "PERSONA"} <= {d["type"] for d in a["detections"]}
+    r = json.loads(sinks.result_json(done.where("doc_id = 1")).first()["json"])
+    assert r["deliverable"] and "García" not in json.dumps(r, ensure_ascii=False).replace("persona", "").split('"labels"')[0]
+    rows = done.select("doc_id", F.explode("accepted").alias("s")).select("doc_id", "s.*")
+    assert ("DNI", "0.99") in [(x["type"], x["confidence"]) for x in sinks.listing(rows).collect()]
+    ids = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "v string").select(sinks.run_scoped_id(F.col("v"), b"k").alias("x"), sinks.run_scoped_id(F.col("v"), b"j").alias("y")).collect()
+    assert ids[0] == ids[1] != ids[2] and ids[3]["x"] is None and ids[0]["x"] != ids[0]["y"] and len(ids[0]["x"]) == 8
+
+
+def test_image_coverage(spark):
+    page = (0.0, 0.0, 10.0, 10.0)
+    assert pictures.coverage([(0, 0, 5, 10), (4, 0, 6, 10)], page) == pytest.approx(0.6)
+    assert pictures.coverage([(-5, -5, 5, 5), (2, 2, 20, 3)], page) == pytest.approx(0.3)
+    assert pictures.coverage([], page) == 0 and pictures.coverage([(0, 0, 1, 1)], (0, 0, 0, 0)) == 0
+    shape = "struct<a:double,b:double,c:double,d:double>"
+    df = spark.createDataFrame([([(0.0, 0.0, 5.0, 5.0)], page), ([], page)], f"r array<{shape}>, p {shape}")
+    assert [round(r["x"], 2) for r in df.select(pictures.image_coverage("r", "p").alias("x")).collect()] == [0.25, 0.0]

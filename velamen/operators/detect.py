@@ -54,24 +54,26 @@ POSTAL_CITY = r"(?<!\d)(\d{5})(?=\s+(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]{2,}|[A
 ADDRESS = STREET_TYPE + r"\s+" + STREET_WORD + r"(?:\s+" + STREET_WORD + "){0,5}" + STREET_NUMBER
 
 
-def matches(text: Column, pattern: str, group: int = 0, prefix: bool = False) -> Column:
+def matches(text: Column, pattern: str, group: int = 0, prefix: bool = False, needs: str | None = None) -> Column:
     """(start, value) of all matches, or of their group 1, which must end where the match ends, or begin where it
-    begins if `prefix`."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    zipped = F.arrays_zip(whole.alias("m"), value.alias("v"), F.split(text, pattern, -1).alias("gap"))
+    begins if `prefix`. needs: a cheaper pattern that every text with a match has, too."""
+    whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    values = [F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v")] if group else []
+    zipped = F.arrays_zip(whole.alias("m"), gaps.alias("gap"), *values)
+    own = "v" if group else "m"
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.char_length(x["gap"])
         end = begin + F.char_length(x["m"])
-        start = end - F.char_length(x["v"]) if group and not prefix else begin
-        found = F.struct(start.cast("int").alias("start"), x["v"].alias("value"))
+        start = end - F.char_length(x[own]) if group and not prefix else begin
+        found = F.struct(start.cast("int").alias("start"), x[own].alias("value"))
         return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(found)).alias("out")))
 
     found = F.aggregate(zipped, empty, step, lambda acc: acc["out"])
     # most texts have no match: one cheap pass for them
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
+    some = text.rlike(needs) & text.rlike(pattern) if needs else text.rlike(pattern)
+    return F.when(some, found).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
 
 
 @dataclass(frozen=True)

@@ -38,6 +38,8 @@ AFTER_ROLE = f"(?iu){NOT_AFTER_LETTER}{ROLE}{CUE_SPACE}(?!{HONORIFIC}{CUE_SPACE}
 CANDIDATE = f"{PLAIN_NAME}|{NOT_AFTER_LETTER}{FUNCTION_WORD}{SOFT_SPACE}(?:{PLAIN_NAME}|{GUARDED_WORD}(?!\\p{{L}}))"
 #: What each structural pattern is worth, in the order in which they are asked.
 CUES = [("honorific", AFTER_HONORIFIC, False, 0.95), ("document", BEFORE_DOCUMENT, True, 0.97), ("role", AFTER_ROLE, False, 0.90)]
+#: What a text must have for a cue's pattern to be worth its while.
+NEEDS = {"honorific": f"(?iu){HONORIFIC}{CUE_SPACE}", "document": f"(?iu){NOT_AFTER_LETTER}{DOCUMENT_CUE}", "role": f"(?iu){NOT_AFTER_LETTER}{ROLE}{CUE_SPACE}"}
 
 
 class Gazetteer:
@@ -51,9 +53,10 @@ class Gazetteer:
         return canonical in self.given or canonical in self.surnames
 
 
-def candidates(text: Column) -> Column:
+def candidates(text: Column, cued: bool = True, plain: bool = True) -> Column:
     """struct(honorific, document, role, plain): where the patterns see names, each an array of (start, value)."""
-    return F.struct(*[matches(text, pattern, 1, prefix).alias(name) for name, pattern, prefix, _ in CUES], matches(text, CANDIDATE).alias("plain"))
+    found = [matches(text, pattern, 1, prefix, NEEDS[name]).alias(name) for name, pattern, prefix, _ in CUES] if cued else []
+    return F.struct(*found, *([matches(text, CANDIDATE).alias("plain")] if plain else []))
 
 
 def structural_spans(text: str, found, gazetteer: Gazetteer) -> list[dict]:
@@ -79,9 +82,9 @@ def dictionary_spans(text: str, found, gazetteer: Gazetteer) -> list[dict]:
 
 def structural_persons(text: Column, gazetteer: Gazetteer) -> Column:
     """Names behind a form of address or a role, or in front of an identity document."""
-    return arrow_udf(SPANS)(lambda t, found: structural_spans(t or "", found, gazetteer))(text, candidates(text))
+    return arrow_udf(SPANS)(lambda t, found: structural_spans(t or "", found, gazetteer))(text, candidates(text, plain=False))
 
 
 def dictionary_persons(text: Column, gazetteer: Gazetteer) -> Column:
     """Names that begin with a known given name, or have a known surname further on."""
-    return arrow_udf(SPANS)(lambda t, found: dictionary_spans(t or "", found, gazetteer))(text, candidates(text))
+    return arrow_udf(SPANS)(lambda t, found: dictionary_spans(t or "", found, gazetteer))(text, candidates(text, cued=False))

@@ -63,3 +63,24 @@ def upright(pixels: np.ndarray, turn: int) -> np.ndarray:
 @arrow_udf("int")
 def jpeg_orientation(data):
     return orientation(bytes(data) if data is not None else None)
+
+
+def coverage(rectangles: list[tuple[float, float, float, float]], page: tuple[float, float, float, float]) -> float:
+    """Share of a page that the union of rectangles (left, bottom, right, top) covers; what lies outside is cut off."""
+    left, bottom, right, top = page
+    cut = [(max(a, left), max(b, bottom), min(c, right), min(d, top)) for a, b, c, d in rectangles]
+    cut = [r for r in cut if r[0] < r[2] and r[1] < r[3]]
+    xs, total = sorted({x for r in cut for x in (r[0], r[2])}), 0.0
+    for a, b in zip(xs, xs[1:]):
+        reach = bottom
+        for _, low, _, high in sorted((r for r in cut if r[0] <= a and r[2] >= b), key=lambda r: r[1]):
+            total += (b - a) * max(0.0, high - max(low, reach))
+            reach = max(reach, high)
+    area = (right - left) * (top - bottom)
+    return total / area if area > 0 else 0.0
+
+
+@arrow_udf("double")
+def image_coverage(rectangles, page):
+    """coverage() of columns: an array of structs of four doubles, and one such struct."""
+    return coverage([tuple(r) for r in rectangles or []], tuple(page)) if page is not None else 0.0
