@@ -45,7 +45,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/velamen-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._velamen_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no later plan reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._velamen_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def only(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
