@@ -68,10 +68,82 @@ def test_files(spark, tmp_path):
     assert got["a.docx"]["text"] == "Acta de prueba\nTitular\tAna Ruiz\n" and got["a.docx"]["format"] == "docx"
     assert got["b.xlsx"]["text"].split("\n") == ["## Clientes", "", "Nombre\tDNI", "", "Juan Pérez\t1500\t1.234,50\t15/3/23\tTRUE"]
     assert got["c.txt"]["text"] == "uno\ndos\n" and got["d.md"]["text"] == "hola" and got["e.txt"]["text"] == "señor" and got["f.txt"]["text"] == "ñ"
+    assert got["h.pdf"]["error"] and got["i.txt"]["error"]
     assert [got[n]["format"] for n in ("h.pdf", "i.txt", "g.txt", "j.bin", "k.zip", "l.doc", "m.docx")] == ["PDF", "JPEG", None, None, None, None, None]
     assert got["j.bin"]["error"].startswith("Formato no admitido") and got["h.pdf"]["text"] is None and len(got["c.txt"]["source_sha256"]) == 64
 
 
+def _compound(streams):
+    """A compound file with streams of 4096 bytes or more in its root."""
+    size, sectors, chain, rows = 512, [], [], []
+    for name, data in streams.items():
+        data += bytes(max(0, 4096 - len(data)))
+        first = len(sectors)
+        parts = [data[i : i + size].ljust(size, b"\0") for i in range(0, len(data), size)]
+        sectors += parts
+        chain += [*range(first + 1, first + len(parts)), 0xFFFFFFFE]
+        rows.append((name, 2, first, len(data)))
+
+    def row(name, kind, at, length, left=0xFFFFFFFF, right=0xFFFFFFFF, child=0xFFFFFFFF):
+        raw = name.encode("utf-16-le") + b"\0\0"
+        return raw.ljust(64, b"\0") + struct.pack("<HBB3I", len(raw), kind, 1, left, right, child) + bytes(36) + struct.pack("<III", at, length, 0)
+
+    directory = row("Root Entry", 5, 0xFFFFFFFE, 0, child=1) + b"".join(row(*r, right=i + 2 if i + 1 < len(rows) else 0xFFFFFFFF) for i, r in enumerate(rows))
+    directory = directory.ljust(-(-len(directory) // size) * size, b"\0")
+    first_directory = len(sectors)
+    parts = [directory[i : i + size] for i in range(0, len(directory), size)]
+    sectors += parts
+    chain += [*range(first_directory + 1, first_directory + len(parts)), 0xFFFFFFFE]
+    n = -(-(len(chain) + 1) // 128)
+    table = len(sectors)
+    chain += [0xFFFFFFFD] * n
+    fat = struct.pack(f"<{len(chain)}I", *chain).ljust(n * size, b"\xff")
+    head = files.ole2.SIGNATURE + bytes(16) + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<9I", 0, n, first_directory, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
+    head += struct.pack("<109I", *range(table, table + n), *[0xFFFFFFFF] * (109 - n))
+    return head + b"".join(sectors) + fat
+
+
+def _word(text, wide):
+    body = text.encode("utf-16-le" if wide else "cp1252")
+    head = bytearray(0x600)
+    struct.pack_into("<H", head, 0, 0xA5EC)
+    struct.pack_into("<H", head, 10, 0x0200)
+    struct.pack_into("<I", head, 0x4C, len(text))
+    place = 0x600 if wide else 0x40000000 | (0x600 * 2)
+    plan = struct.pack("<2I", 0, len(text)) + struct.pack("<HIH", 0, place, 0)
+    pieces = b"\x01\x02\x00ab\x02" + struct.pack("<I", len(plan)) + plan
+    struct.pack_into("<II", head, 0x1A2, 0, len(pieces))
+    return _compound({"WordDocument": bytes(head) + body, "1Table": pieces})
+
+
+def _record(kind, body):
+    return struct.pack("<HH", kind, len(body)) + body
+
+
+def _workbook():
+    text = lambda s, wide=0: struct.pack("<HB", len(s), wide) + s.encode("utf-16-le" if wide else "latin-1")
+    long = "palabra partida"
+    strings = struct.pack("<II", 3, 3) + text("Nombre") + text("Peña €", 1) + struct.pack("<HB", len(long), 0) + long[:7].encode()
+    parts = [_record(0x0809, bytes(16)), _record(0x041E, struct.pack("<H", 164) + text('#,##0.00" eur"')), *[_record(0xE0, struct.pack("<HH", 0, f) + bytes(16)) for f in (0, 164, 14)], _record(0xFC, strings), _record(0x3C, b"\x01" + long[7:].encode("utf-16-le"))]
+    sheet = [_record(0x0809, bytes(16)), _record(0xFD, struct.pack("<HHHI", 0, 0, 0, 0)), _record(0xFD, struct.pack("<HHHI", 0, 1, 0, 1)), _record(0xFD, struct.pack("<HHHI", 1, 0, 0, 2)), _record(0x203, struct.pack("<HHHd", 2, 0, 1, 1234.5))]
+    sheet += [_record(0x27E, struct.pack("<HHHI", 2, 1, 0, (1500 << 2) | 2)), _record(0xBD, struct.pack("<HH", 2, 2) + struct.pack("<HIHI", 2, (45000 << 2) | 2, 0, (250 << 2) | 3) + struct.pack("<H", 3)), _record(0x205, struct.pack("<HHHBB", 2, 4, 0, 1, 0))]
+    sheet += [_record(0x06, struct.pack("<HHH", 3, 0, 0) + b"\0" * 6 + b"\xff\xff" + bytes(8)), _record(0x207, text("hecho")), _record(0x06, struct.pack("<HHHd", 3, 1, 0, 7.0) + bytes(8)), _record(0x0A, b"")]
+    globals_size = sum(map(len, parts)) + 2 * (4 + 8 + 5) + 4
+    empty = [_record(0x0809, bytes(16)), _record(0x0A, b"")]
+    bounds = [_record(0x85, struct.pack("<IBBBB", globals_size, 0, 0, 5, 0) + b"Datos"), _record(0x85, struct.pack("<IBBBB", globals_size + sum(map(len, sheet)), 0, 0, 5, 0) + b"Vacia")]
+    return _compound({"Workbook": b"".join([*parts, *bounds, _record(0x0A, b""), *sheet, *empty])})
+
+
+def test_old_office_files(spark):
+    text = "Acta\rTitular\x07Ana Ruiz\x07\x07Ver \x13 HYPERLINK x \x14enlace\x15 fin\r"
+    rows = [("a.doc", _word(text, False)), ("b.doc", _word(text + "€\r", True)), ("c.xls", _workbook()), ("d.doc", _compound({"WordDocument": b"x"})), ("e.xls", _compound({"Other": b"x"}))]
+    df = spark.createDataFrame([(p, len(c), c) for p, c in rows], "path string, length long, content binary")
+    got = {r["path"]: r for r in files.extracted(df).collect()}
+    assert got["a.doc"]["text"] == "Acta\nTitular\tAna Ruiz\nVer enlace fin\n" and got["b.doc"]["text"].endswith("€\n") and got["a.doc"]["format"] == "doc"
+    assert got["c.xls"]["text"].split("\n") == ["## Datos", "", "Nombre\tPeña €", "", "palabra partida", "", "1.234,50 eur\t1500\t15/3/23\t2,5\tTRUE", "", "hecho\t7"]
+    assert "Word" in got["d.doc"]["error"] and got["d.doc"]["text"] is None and got["e.xls"]["format"] is None
+
+
 def _jpeg(order, value, tag=0x0112):
     tiff = (b"II" if order == "<" else b"MM") + struct.pack(f"{order}HIH", 42, 8, 1) + struct.pack(f"{order}HHIHH", tag, 3, 1, value, 0) + bytes(4)
     body = b"Exif\0\0" + tiff

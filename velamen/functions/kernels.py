@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
+from functools import lru_cache
 from urllib.parse import unquote
 
 import regex
@@ -39,6 +41,9 @@ def fold(text: str) -> str:
     return low.translate(_FOLD)
 
 
+_folded = lru_cache(maxsize=4)(fold)
+
+
 def _word_char(c: str) -> bool:
     return c.isalpha() or unicodedata.category(c) == "Nd"
 
@@ -138,7 +143,7 @@ def normalized(source: str) -> tuple[str, list[int] | None, list[int] | None]:
 def occurrences(text: str, needle: str, within_cell: bool = False) -> list[tuple[int, int]]:
     """Where a value stands in text as whole words, whatever its case and accents. Between its words any blanks may
     stand; within a cell only spaces and one line break, and neither a tab nor another line break behind them."""
-    hay, wanted = fold(text), fold(needle.strip())
+    hay, wanted = _folded(text), fold(needle.strip())
     if not wanted:
         return []
     words = [w for w in wanted.split(" ") if w] if " " in wanted else [wanted]
@@ -290,11 +295,14 @@ def merged_keys(people: list[tuple[str, str]]) -> dict[str, str]:
 
 def arbitrated(spans: list[dict]) -> list[dict]:
     """operators.spans.arbitrate for one document."""
+    starts: list[int] = []  # of what is taken, which never overlaps: only the neighbours can be in the way
     taken: list[dict] = []
     for s in sorted(spans, key=lambda s: (-PRIORITY[s["type"]], s["start"] - s["end"], s["start"])):
-        if not any(o["start"] < s["end"] and s["start"] < o["end"] for o in taken):
-            taken.append(s)
-    return sorted(taken, key=lambda s: s["start"])
+        i = bisect_left(starts, s["end"])
+        if i == 0 or taken[i - 1]["end"] <= s["start"]:
+            starts.insert(i, s["start"])
+            taken.insert(i, s)
+    return taken
 
 
 def without_excluded(spans: list[dict], people, organizations, terms) -> list[dict]:
@@ -332,7 +340,11 @@ def analyzed(source: str, text: str, starts, ends, first: list[dict], people: li
     """Spans of a source, from what detectors found in its normalized text, in the order of the detectors."""
     found = arbitrated([*first, *people, *last])
     seeds = [(s["value"], s["entity_key"], s["span_id"]) for s in found if s["type"] == "PERSON"]
+    seen = set()
     for value, key, name in seeds:
+        if (value, key) in seen:  # the same mentions again
+            continue
+        seen.add((value, key))
         for i, (a, b, _) in enumerate(propagated(text, [(value, key)])):
             found.append({**person_span("prop", a, b, text, "PROPAGATED", 0.70), "span_id": f"prop-{name}-{i}", "entity_key": key})
     found = arbitrated(found)

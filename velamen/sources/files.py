@@ -7,7 +7,6 @@ and character sets need a look at the bytes, which is done in Arrow batches. Err
 from __future__ import annotations
 
 import re
-import struct
 import xml.etree.ElementTree as ET
 import zipfile
 from io import BytesIO
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_extension
+from . import ocr, ole2, pdf
 from ..functions.udfs import arrow_udf
 
 MOST_BYTES, HEADER_BYTES = 50 * 1024 * 1024, 8192
@@ -46,45 +46,6 @@ def zip_entries(content: bytes) -> set[str]:
         return set()
 
 
-def ole2_entries(content: bytes) -> set[str]:
-    """Lower-case names in the root of a compound file; nothing if it is none."""
-    if content[:8] != b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" or len(content) < 512:
-        return set()
-    try:
-        size = 1 << struct.unpack_from("<H", content, 30)[0]
-        sector = lambda n: content[(n + 1) * size : (n + 2) * size]
-        table = [n for n in struct.unpack_from("<109I", content, 76) if n < 0xFFFFFFFA]
-        more, left = struct.unpack_from("<I", content, 68)[0], struct.unpack_from("<I", content, 72)[0]
-        while more < 0xFFFFFFFA and left:
-            *own, more = struct.unpack(f"<{size // 4}I", sector(more))
-            table += [n for n in own if n < 0xFFFFFFFA]
-            left -= 1
-        chain = [x for n in table for x in struct.unpack(f"<{size // 4}I", sector(n))]
-        at, directory, seen = struct.unpack_from("<I", content, 48)[0], b"", set()
-        while at < 0xFFFFFFFA and at not in seen:
-            seen.add(at)
-            directory += sector(at)
-            at = chain[at]
-        rows = [directory[i : i + 128] for i in range(0, len(directory) - 127, 128)]
-
-        def name(row: bytes) -> str:
-            return row[: max(0, struct.unpack_from("<H", row, 64)[0] - 2)].decode("utf-16-le", "replace").lower()
-
-        root, out, todo = rows[0], set(), []
-        todo.append(struct.unpack_from("<I", root, 76)[0])
-        visited = set()
-        while todo:
-            n = todo.pop()
-            if n >= len(rows) or n in visited:
-                continue
-            visited.add(n)
-            out.add(name(rows[n]))
-            todo += struct.unpack_from("<2I", rows[n], 68)
-        return out
-    except (struct.error, IndexError):
-        return set()
-
-
 @arrow_udf("array<string>")
 def _containers(content):
     """Which container formats the bytes are."""
@@ -94,7 +55,7 @@ def _containers(content):
         names = zip_entries(content)
         out += [x for x, entry in (("docx", "word/document.xml"), ("xlsx", "xl/workbook.xml")) if entry in names]
     elif content[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
-        names = ole2_entries(content)
+        names = ole2.entries(content)
         out += [x for x, entry in (("doc", "worddocument"), ("xls", "workbook")) if entry in names]
     return out
 
@@ -174,6 +135,35 @@ def _number(value: str, code: str) -> str:
 BUILT_IN = {0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 14: "d/m/yy", 49: "@"}
 
 
+def _shown(value: str, code: str) -> str:
+    """A number as its cell shows it."""
+    dated = code != "General" and re.search(r"[dmyh]", re.sub(r"\[[^\]]*\]|\"[^\"]*\"", "", code.lower()))
+    return _date(value, code) if dated else _number(value, code)
+
+
+def _sheets_lines(sheets) -> list[str]:
+    """Of each sheet (name, rows of cells' texts) with text its name as a heading, then each row behind an empty line,
+    its cells joined by tabs."""
+    out: list[str] = []
+    for name, cells in sheets:
+        rows = [[v for v in (_LINES.sub(" ", x) for x in row) if v.strip()] for row in cells]
+        if rows := ["\t".join(r) for r in rows if r]:
+            out += ([""] if out else []) + [f"## {name}"] + [x for r in rows for x in ("", r)]
+    return out
+
+
+def xls_lines(content: bytes) -> list[str]:
+    """Lines of an old workbook."""
+    sheets = []
+    for name, cells, formats, styles in ole2.workbook_sheets(content):
+        codes, rows = BUILT_IN | formats, {}
+        for (row, _), (kind, value, style) in sorted(cells.items()):
+            code = codes.get(styles[style] if style < len(styles) else 0, "General")
+            rows.setdefault(row, []).append(str(value) if kind == "s" else _shown(repr(value), code))
+        sheets.append((name, rows.values()))
+    return _sheets_lines(sheets)
+
+
 def _date(value: str, code: str) -> str:
     from datetime import datetime, timedelta
 
@@ -184,48 +174,35 @@ def _date(value: str, code: str) -> str:
 
 
 def xlsx_lines(content: bytes) -> list[str]:
-    """Of each sheet with text its name as a heading, then each row behind an empty line, its cells joined by tabs."""
+    """Lines of a workbook."""
     with zipfile.ZipFile(BytesIO(content)) as z:
         names = set(z.namelist())
         load = lambda name: ET.fromstring(z.read(name)) if name in names else None
         text = lambda x: "".join(t.text or "" for t in x.iter(f"{_S}t"))
         shared = [text(x) for x in s.iter(f"{_S}si")] if (s := load("xl/sharedStrings.xml")) is not None else []
-        codes = dict(BUILT_IN)
-        formats = [0]
+        codes, formats = dict(BUILT_IN), [0]
         if (styles := load("xl/styles.xml")) is not None:
             codes |= {int(x.get("numFmtId")): x.get("formatCode") for x in styles.iter(f"{_S}numFmt")}
             if (cells := styles.find(f"{_S}cellXfs")) is not None:
                 formats = [int(x.get("numFmtId") or 0) for x in cells]
         links = {x.get("Id"): x.get("Target") for x in load("xl/_rels/workbook.xml.rels")}
-        out: list[str] = []
+
+        def shown(cell) -> str:
+            raw, kind, style = cell.findtext(f"{_S}v"), cell.get("t", "n"), int(cell.get("s", 0))
+            if kind == "inlineStr":
+                return text(cell)
+            if raw is None:
+                return ""
+            if kind == "n":
+                return _shown(raw, codes.get(formats[style] if style < len(formats) else 0, "General"))
+            return shared[int(raw)] if kind == "s" else ("TRUE" if raw == "1" else "FALSE") if kind == "b" else raw
+
+        sheets = []
         for sheet in load("xl/workbook.xml").iter(f"{_S}sheet"):
             target = links[sheet.get(f"{_R}id")]
-            rows = []
-            for row in load(target.lstrip("/") if target.startswith("/") else f"xl/{target}").iter(f"{_S}row"):
-                values = []
-                for cell in row.iter(f"{_S}c"):
-                    raw, kind = cell.findtext(f"{_S}v"), cell.get("t", "n")
-                    code = codes.get(formats[int(cell.get("s", 0))] if int(cell.get("s", 0)) < len(formats) else 0, "General")
-                    if kind == "inlineStr":
-                        value = text(cell)
-                    elif raw is None:
-                        value = ""
-                    elif kind == "s":
-                        value = shared[int(raw)]
-                    elif kind == "b":
-                        value = "TRUE" if raw == "1" else "FALSE"
-                    elif kind != "n":
-                        value = raw
-                    else:
-                        value = _date(raw, code) if re.search(r"[dmyh]", re.sub(r"\[[^\]]*\]|\"[^\"]*\"", "", code.lower())) and code != "General" else _number(raw, code)
-                    value = _LINES.sub(" ", value)
-                    if value.strip():
-                        values.append(value)
-                if values:
-                    rows.append("\t".join(values))
-            if rows:
-                out += ([""] if out else []) + [f"## {sheet.get('name')}"] + [x for r in rows for x in ("", r)]
-        return out
+            body = load(target.lstrip("/") if target.startswith("/") else f"xl/{target}")
+            sheets.append((sheet.get("name"), [[shown(c) for c in row.iter(f"{_S}c")] for row in body.iter(f"{_S}row")]))
+        return _sheets_lines(sheets)
 
 
 @arrow_udf("struct<text:string,error:string>")
@@ -236,11 +213,28 @@ def _extract(kind, content):
             return {"text": "\n".join(lines_of(decode_text(content))), "error": None}
         if kind == "docx":
             return {"text": "\n".join(lines_of(docx_text(content))), "error": None}
-        if kind == "xlsx":
-            return {"text": "\n".join(xlsx_lines(content)), "error": None}
+        if kind == "doc":
+            return {"text": "\n".join(lines_of(ole2.document_text(content))), "error": None}
+        if kind in ("xlsx", "xls"):
+            return {"text": "\n".join(xlsx_lines(content) if kind == "xlsx" else xls_lines(content)), "error": None}
+        if kind == "PDF":
+            return _pdf_text(content)
+    except pdf.PdfError as e:
+        return {"text": None, "error": str(e)}
     except Exception:  # noqa: BLE001  whatever a broken file does, its message may quote the file
-        return {"text": None, "error": "No se pudo leer el documento de Word." if kind == "docx" else "No se pudo leer el libro de Excel."}
-    return {"text": None, "error": f"No hay extractor para {kind}."}
+        name = {"docx": "el documento de Word", "doc": "el documento de Word", "PDF": "el PDF"}.get(kind, "el libro de Excel")
+        return {"text": None, "error": f"No se pudo leer {name}."}
+    text, error = ocr.recognize(content)
+    return {"text": text, "error": error}
+
+
+def _pdf_text(content: bytes) -> dict:
+    """Pages' lines; a page that is a picture can't be drawn here, and is named."""
+    pages = pdf.read_pages(content)
+    for p in pages:
+        if p["has_image"] and (p["meaningful"] < 40 or p["image_coverage"] >= 0.5):
+            return {"text": None, "error": f"La pagina {p['page_no']} es una imagen sin texto."}
+    return {"text": "\n".join(line for p in pages for line in p["lines"]), "error": None}
 
 
 def extracted(files: DataFrame) -> DataFrame:
