@@ -95,10 +95,10 @@ def test_occurrences():
 def test_scalar_forms(spark):
     df = spark.createDataFrame([("a\nb😀c", "Informe final.docx")], "t string, n string")
     r = df.select(X.line_number(F.col("t"), F.lit(2)).alias("line"), X.utf16_offset(F.col("t"), F.lit(4)).alias("u"), X.download_name(F.col("n")).alias("d"), X.upload_suffix(F.col("n")).alias("s"), X.json_quote(F.lit('a"\n\x01')).alias("j"), X.review_form(F.lit(" a   b ")).alias("r"), X.whole_word_count(F.lit("Banco  Pastor, banco pastor, Bancos Pastor"), "Banco Pastor").alias("w")).first()
-    assert (r["line"], r["u"], r["d"], r["s"], r["r"], r["w"]) == (2, 5, "Informe final-anonimused.md", ".docx", "a b", 2)
+    assert (r["line"], r["u"], r["d"], r["s"], r["r"], r["w"]) == (2, 5, "Informe final-redacted.md", ".docx", "a b", 2)
     assert r["j"] == '"a\\"\\n\\u0001"'
     names = ["", ".", "..", "a/b.md", "x", ".env"]
-    assert column(spark, names, X.download_name) == ["documento-anonimused.md"] * 4 + ["x-anonimused.md", ".env-anonimused.md"]
+    assert column(spark, names, X.download_name) == ["documento-redacted.md"] * 4 + ["x-redacted.md", ".env-redacted.md"]
 
 
 @pytest.mark.parametrize(

@@ -151,12 +151,12 @@ def utf16_offset(text: Column, offset: Column) -> Column:
     return (F.octet_length(F.encode(F.substring(text, F.lit(1), offset), "UTF-16BE")) / 2).cast("int")
 
 
-def download_name(name: Column) -> Column:
+def download_name(name: Column, suffix: str = "-redacted.md") -> Column:
     """Name of a redacted file: the stem with a suffix, or a plain name where it can't be used."""
     trimmed = F.trim(F.coalesce(name, F.lit("")))
     stem = F.when(F.locate(".", trimmed, 2) > 0, F.regexp_replace(trimmed, "\\.[^.]*\\z", "")).otherwise(trimmed)
     usable = (trimmed != "") & ~trimmed.rlike("[\\\\/\\x00-\\x1F]") & ~stem.isin("", ".", "..")
-    return F.when(usable, F.concat(stem, F.lit("-anonimused.md"))).otherwise("documento-anonimused.md")
+    return F.when(usable, F.concat(stem, F.lit(suffix))).otherwise(f"documento{suffix}")
 
 
 def file_extension(name: Column) -> Column:
