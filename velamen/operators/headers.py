@@ -24,11 +24,13 @@ def strip_headers_footers(pages: DataFrame) -> DataFrame:
     """
     lines = pages.select("doc_id", "page_no", F.size("lines").alias("n"), F.posexplode("lines").alias("line_no", "line"))
     zone = (F.col("line_no") < ZONE) | (F.col("line_no") >= F.col("n") - ZONE)
-    keyed = lines.where(zone).select("doc_id", "page_no", "line_no", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= LEAST_KEY)
-    counts = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
-    repeated = keyed.select("doc_id", "key", "page_no").distinct().groupBy("doc_id", "key").agg(F.count("*").alias("on_pages")).join(counts, "doc_id")
-    repeated = repeated.where((F.col("n_pages") >= LEAST_PAGES) & (F.col("on_pages") >= F.greatest(F.lit(2), F.ceil(F.col("n_pages") * SHARE))))
-    gone = keyed.join(repeated.select("doc_id", "key"), ["doc_id", "key"], "left_semi").groupBy("doc_id", "page_no").agg(F.collect_set("line_no").alias("gone"))
+    # six lines of each page at most; a key's places are those of one document
+    keyed = lines.where(zone).select("doc_id", line_key(F.col("line")).alias("key"), F.struct("page_no", "line_no").alias("at"))
+    repeated = keyed.groupBy("doc_id", "key").agg(F.collect_set("at").alias("at")).where(F.char_length("key") >= LEAST_KEY)
+    repeated = repeated.withColumn("on_pages", F.size(F.array_distinct(F.transform("at", lambda x: x["page_no"])))).where("on_pages >= 2")
+    counts = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= LEAST_PAGES)
+    repeated = repeated.join(counts, "doc_id").where(F.col("on_pages") >= F.ceil(F.col("n_pages") * SHARE))
+    gone = repeated.select("doc_id", F.explode("at").alias("at")).groupBy("doc_id", F.col("at.page_no").alias("page_no")).agg(F.collect_set("at.line_no").alias("gone"))
     out = pages.join(gone, ["doc_id", "page_no"], "left")
     left = F.filter("lines", lambda line, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
     return out.withColumn("removed_lines", F.coalesce(F.size("gone"), F.lit(0))).withColumn("removed_lines", F.when(F.col("gone").isNull(), 0).otherwise(F.col("removed_lines"))).withColumn("lines", left).drop("gone")
