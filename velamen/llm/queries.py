@@ -60,4 +60,17 @@ def op10_document_fingerprints(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op3_pii, op4_warc_derivatives, op5_language_id, op6_benchmark_decontamination, op7_packing, op8_token_counts, op9_url_filters, op10_document_fingerprints)}
-SQL: dict[str, str] = {}
+#: By all pairs that share a shingle, for tables of thousands of documents.
+SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    g AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS gs FROM w),
+    s AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS gram FROM g),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b),
+    m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node),
+    k AS (SELECT doc_id, len(gs) AS n, CASE WHEN len(gs) = 0 THEN 'none ' || doc_id ELSE md5(array_to_string(list_sort(gs), chr(10))) END AS key FROM g)
+    SELECT k.doc_id, CAST(k.n AS BIGINT) AS n_shingles, m.component_id, count(*) OVER (PARTITION BY k.key) AS n_equal FROM k JOIN m ON m.node = k.doc_id""",
+}
