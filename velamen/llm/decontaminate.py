@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, only, text_bytes, tuned, words, written
+from .common import batched, chunks, mix, only, text_bytes, tuned, words, written
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach; share of word sequences that an item or a part must have in it.
@@ -197,7 +197,7 @@ def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE, overla
                 columns = zip(*found, strict=True) if found else [[]] * len(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batched(run), "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, tuned
+from .common import batched, mix, tuned
 
 ORDER = 5
 #: Texts of a language that the model is made of, at most: a bounded sample, by the smallest hashes of doc_id.
@@ -222,7 +222,7 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return train([x for lang in sorted(kept) for x in kept[lang]])
 
 
-def groups(texts: list[str], most: int = 400_000):
+def groups(texts: list[str], most: int = 200_000):
     """Ranges of texts of about `most` characters."""
     a = 0
     while a < len(texts):
@@ -258,7 +258,7 @@ def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 lang, score, entropy, rejected = sent.value.judge(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), batch.column("held_out").slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64(), mask=np.isnan(entropy)), pa.array(rejected, pa.bool_())], schema=schema)
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return rows.mapInArrow(batched(run), "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 
@@ -277,4 +277,4 @@ def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             keep = [~sent.value.judge(texts[a:b])[3] for a, b in groups(texts)]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(batched(run), docs.schema)

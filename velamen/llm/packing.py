@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tuned, written
+from .common import batched, tuned, written
 from .tokens import encode
 
 #: Rows of a group that ranks are counted in, about.
@@ -88,7 +88,7 @@ def packed(docs: DataFrame, size: int = 2048, end: int = 1, vocabulary: str | No
     """
     spark = docs.sparkSession
     tuned(spark)
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(size, end, vocabulary), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batched(_pieces(size, end, vocabulary)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = written(pieces, "pieces")
     counts = dict(pieces.groupBy("length").count().collect())  # at most `size` rows
     used, places, first = dict.fromkeys(counts, 0), [], 0

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, mix, text_bytes, tuned, words
+from .common import batched, chunks, mix, text_bytes, tuned, words
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -303,8 +303,8 @@ class Field:
         out = np.zeros(total, np.int64)
         weights32 = {k: w.astype(np.float32) for k, w in self.weights.items()}
         step, start = self.step.astype(np.float32), self.begin.astype(np.float32)
-        for lo in range(0, len(doc), 2048):
-            g, ok = grid[lo : lo + 2048], real[lo : lo + 2048]
+        for lo in range(0, len(doc), 1024):
+            g, ok = grid[lo : lo + 1024], real[lo : lo + 1024]
             local = {f: np.where(ok, x[np.clip(g, 0, max(total - 1, 0))], len(self.word_keys) if f == "word" else len(self.shape_keys)) for f, x in ids.items()}
             emit = sum(weights32[k][y] for k, y in self._near(local))
             emit[~ok] = 0
@@ -405,7 +405,7 @@ def personal_spans(docs: DataFrame, labelled: list[tuple[list[str], list[str]]]
                 columns = [*counts, hashes, [_joined(every) for _, every in found], [len(every) - len(base) for base, every in found]]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", "text").mapInArrow(batched(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -440,4 +440,4 @@ def masked(docs: DataFrame, labelled: list[tuple[list[str], list[str]]] | None =
                 columns["n_chars"] = pa.array([n if x is None else len(x) for x, n in zip(out, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(batched(run), docs.schema)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tuned
+from .common import batched, tuned
 from .tokens import encode
 
 #: Lengths of a block that running sums are formed in.
@@ -26,7 +26,7 @@ def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFram
             found.update(len(encode(x.as_py() or "", vocabulary)) for x in batch.column("text"))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], schema=schema)
 
-    return docs.select("text").mapInArrow(run, "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    return docs.select("text").mapInArrow(batched(run), "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def length_totals(histogram: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tuned
+from .common import batched, tuned
 
 CRLF = b"\r\n"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs, fixed by RFC 9562
@@ -195,7 +195,7 @@ def derived(responses: DataFrame) -> DataFrame:
             rows = [{"page_id": i, **x} for i, r in zip(batch.column("page_id").to_pylist(), batch.column("record"), strict=True) for x in derivatives(r.as_py() or b"")]
             yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
-    return responses.select(F.col("page_id").cast("long").alias("page_id"), "record").mapInArrow(run, DDL)
+    return responses.select(F.col("page_id").cast("long").alias("page_id"), "record").mapInArrow(batched(run), DDL)
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -209,4 +209,4 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
             ids, urls, texts = (batch.column(c).to_pylist() for c in ("page_id", "url", "html"))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([response_record(u, t, str(i), date) for i, u, t in zip(ids, urls, texts, strict=True)], pa.binary())], schema=schema)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, record binary")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(batched(run), "page_id long, record binary")
