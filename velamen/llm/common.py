@@ -41,10 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and any executor can read it again."""
+def written(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+    """df as a table in the shared folder: its lineage is cut, and any executor can read it again.
+
+    What a shuffle has dealt out is written in fewer files, two a core or an eighth of the shuffle's partitions; `wide`
+    tables, which come straight from a scan, keep its partitions.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/velamen-{name}-{uuid.uuid4().hex}"
+    if not wide:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._velamen_path = path

@@ -89,7 +89,7 @@ def packed(docs: DataFrame, size: int = 2048, end: int = 1, vocabulary: str | No
     spark = docs.sparkSession
     tuned(spark)
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batched(_pieces(size, end, vocabulary)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
-    pieces = written(pieces, "pieces")
+    pieces = written(pieces, "pieces", wide=True)
     counts = dict(pieces.groupBy("length").count().collect())  # at most `size` rows
     used, places, first = dict.fromkeys(counts, 0), [], 0
     for n, lengths in shortest_pack_first(counts, size):

@@ -83,7 +83,7 @@ def histogram_shards(docs: DataFrame, shards: int = 16, tolerance: float = 1e-4)
     d = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), h.alias("h"), d.alias("d"))
-    rows = written(rows, "shard-rows")
+    rows = written(rows, "shard-rows", wide=True)
     n, total = rows.agg(F.count("*"), F.sum("size")).first()
     total = total or 0
     per = max(4, min(PIECES_MOST, -(-n // (shards * PIECE_ROWS))))

@@ -75,7 +75,7 @@ def winnowed(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     number = F.coalesce("doc_id", F.lit(-(2**63)))
     key = F.shiftrightunsigned(number.bitwiseXOR(F.lit(-(2**63))), 1)
-    sizes = written(docs.select(number.alias("number"), key.alias("key"), (F.char_length("text") + 1).cast("long").alias("size")), "sizes")
+    sizes = written(docs.select(number.alias("number"), key.alias("key"), (F.char_length("text") + 1).cast("long").alias("size")), "sizes", wide=True)
     total = sizes.agg(F.sum("size")).first()[0] or 0
     n = max(16, min(RANGES_MOST, total // RANGE_CHARS))
     found = refined(sizes.select(F.lit(None).cast("long").alias("base"), "key", "size"), [(j, total * j // n, total // n // 8, None) for j in range(1, n)], {}, total) if total else {}
