@@ -19,6 +19,10 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return _jaccard.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, percent=75)
 
 
+def op1_ngram_jaccard_links(spark, sf_dir):
+    return _jaccard.jaccard_links(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, percent=75)
+
+
 def op2_sharding(spark, sf_dir):
     return _sharding.histogram_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
 
@@ -59,7 +63,7 @@ def op10_document_fingerprints(spark, sf_dir):
     return _winnowing.winnowed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op3_pii, op4_warc_derivatives, op5_language_id, op6_benchmark_decontamination, op7_packing, op8_token_counts, op9_url_filters, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_sharding, op3_pii, op4_warc_derivatives, op5_language_id, op6_benchmark_decontamination, op7_packing, op8_token_counts, op9_url_filters, op10_document_fingerprints)}
 #: By all pairs that share a shingle, for tables of thousands of documents.
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
@@ -74,3 +78,5 @@ SQL: dict[str, str] = {
     k AS (SELECT doc_id, len(gs) AS n, CASE WHEN len(gs) = 0 THEN 'none ' || doc_id ELSE md5(array_to_string(list_sort(gs), chr(10))) END AS key FROM g)
     SELECT k.doc_id, CAST(k.n AS BIGINT) AS n_shingles, m.component_id, count(*) OVER (PARTITION BY k.key) AS n_equal FROM k JOIN m ON m.node = k.doc_id""",
 }
+#: The same with the links of each document.
+SQL["op1_ngram_jaccard_links"] = SQL["op1_ngram_jaccard_join"].replace(" AS n_equal FROM k", " AS n_equal, (SELECT count(*) FROM e WHERE e.a = k.doc_id) AS n_links FROM k")
