@@ -356,6 +356,16 @@ def test_templates(spark):
     assert got[0]["template"] == "shop.example/ads/#/view-#.html" and got[100]["template"] == "blog.example/post/*"
 
 
+def test_branches_without_labels(spark):
+    """They take over what their host shows; a branch that differs from it and a host without labels don't."""
+    rows = [(f"http://a.example/de/{i}", "block") for i in range(20)] + [(f"http://b.example/{p}/{i}", v) for p, v in (("en", "allow"), ("de", "block")) for i in range(20)]
+    rows += [(f"http://{h}.example/new/{i}", None) for h in "abc" for i in range(5)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(rows) if v], "page_id long, label string")
+    found = {(r["host"], r["verdict"], r["decided_by"], r["labelled"]) for r in url_filter.judged_urls(pages, [], labels).collect() if "/new/" in r["path"]}
+    assert found == {("a.example", "block", "tree", 20), ("b.example", "allow", "tree", 40), ("c.example", "allow", None, 0)}
+
+
 # --- archives
 
 

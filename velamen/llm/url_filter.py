@@ -3,8 +3,8 @@
 A url's path is a chain of segments below its host. Segments that vary (numbers in them, or values too rare among
 their siblings) become wildcards, so that the paths of a host fold into few templates. Each node of the tree counts
 its rows and its labelled rows. A branch whose labelled share of blocked rows does not differ from its siblings' is
-merged into its parent; one that differs stands for itself, smoothed towards its parent. A template is rejected where
-the share that results is high enough and rests on labelled rows of its own branch.
+merged into its parent, and so is one without labelled rows; one that differs stands for itself, smoothed towards its
+parent. A template is rejected where the share that results is high enough; a host without labelled rows decides nothing.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def template_tree(urls: DataFrame) -> DataFrame:
     """host, shape, template, labelled, purity for the distinct hosts and shapes of urls (host, path, label).
 
     label is block, allow or null. shape is the path with its digits as `#`; purity is the smoothed share of blocked
-    rows of the template's branch and labelled the labelled rows that it rests on.
+    rows of the template's branch and labelled the labelled rows that it rests on, be they of a branch above.
     """
     shape = F.regexp_replace(F.array_join(_segments(F.col("path")), "/"), "[0-9]+", "#")
     blocked, known = (F.col("label") == "block"), F.col("label").isNotNull()
@@ -89,20 +89,21 @@ def template_tree(urls: DataFrame) -> DataFrame:
         error = F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) * (1 / F.greatest(n, F.lit(1.0)) + 1 / F.greatest(others, F.lit(1.0))))
         apart = (n > 0) & (others > 0) & (F.abs(gap) > DIFFER * error)
         own = (b + SMOOTH * r["purity"]) / (n + SMOOTH)
-        # a branch without labelled rows tells nothing and takes nothing over
-        return F.struct(n.alias("n"), b.alias("b"), F.when(n == 0, F.lit(0.5)).when(apart | (x["level"] == 0), own).otherwise(r["purity"]).alias("purity"))
+        stands = apart | (x["level"] == 0)
+        return F.struct(n.alias("n"), b.alias("b"), F.when(stands, own).otherwise(r["purity"]).alias("purity"), F.when(stands, n).otherwise(r["rests"]).alias("rests"))
 
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("b"), F.lit(0.5).alias("purity"))
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("b"), F.lit(0.5).alias("purity"), F.lit(0.0).alias("rests"))
     judged = steps.select("node", F.aggregate("steps", start, step).alias("r"))
-    return tree.join(judged, "node").select("host", "shape", F.col("node").alias("template"), F.col("r.n").cast("long").alias("labelled"), F.col("r.purity").alias("purity"))
+    return tree.join(judged, "node").select("host", "shape", F.col("node").alias("template"), F.col("r.rests").cast("long").alias("labelled"), F.col("r.purity").alias("purity"))
 
 
 def judged_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, key: str = "page_id") -> DataFrame:
-    """One row for each row of pages (page_id, url): page_id, host, path, rule, verdict, template, labelled, purity.
+    """One row for each row of pages (page_id, url): page_id, host, path, rule, verdict, template, labelled, purity,
+    decided_by (rule, tree, or null where nothing is known of the host).
 
     A rule that fits decides; elsewhere the template tree does, learned from the rows that rules label (and from
     labels, a table of page_id and label, where given). Nulls, urls without `://` and repeated rows get a verdict like
-    any other; a template without labelled rows is allowed. Extra columns are ignored.
+    any other; a host without labelled rows is allowed. Extra columns are ignored.
     """
     host, path = host_path(F.col("url"))
     rows = pages.select(F.col(key), host.alias("host"), path.alias("path")).withColumn("by", longest_rule(F.col("host"), F.col("path"), rules))
@@ -113,6 +114,6 @@ def judged_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None =
     tree = written(template_tree(learn.select("host", "path", "label")), "judged")
     shape = F.regexp_replace(F.array_join(_segments(F.col("path")), "/"), "[0-9]+", "#")
     out = rows.withColumn("shape", shape).join(tree, ["host", "shape"], "left")
-    rejected = (F.col("labelled") > 0) & (F.col("purity") >= REJECT)
-    verdict = F.coalesce(F.col("by.verdict"), F.when(rejected, "block").otherwise("allow"))
-    return out.select(F.col(key), "host", "path", F.col("by.rule").alias("rule"), verdict.alias("verdict"), "template", "labelled", "purity")
+    verdict = F.coalesce(F.col("by.verdict"), F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
+    decided = F.when(F.col("by").isNotNull(), "rule").when(F.col("labelled") > 0, "tree")
+    return out.select(F.col(key), "host", "path", F.col("by.rule").alias("rule"), verdict.alias("verdict"), "template", "labelled", "purity", decided.alias("decided_by"))
