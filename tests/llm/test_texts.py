@@ -31,6 +31,14 @@ def test_words_and_shingles():
     assert [x.tolist() for x in common.shingle_sets(*common.text_bytes(pa.chunked_array([["q w", "e r"]]).slice(1)), 2)] == [common.shingle_sets(*common.text_bytes(pa.array(["e r"])), 2)[0].tolist()]
 
 
+def test_words_in_slices(monkeypatch):
+    rows = ["Uno  dos\tTRES " * 50, None, "", "ÀB\u00a0c d\x0be", "x" * 3000 + " y", "x" * 3000]
+    whole = common.words(*common.text_bytes(pa.array(rows)))
+    monkeypatch.setattr(common, "CHUNK_BYTES", 64)
+    for a, b in zip(whole, common.words(*common.text_bytes(pa.array(rows))), strict=True):
+        assert (a == b).all()
+
+
 # --- personal data
 
 PATTERNS = [
@@ -251,20 +259,39 @@ def test_search_is_exact():
 # --- tokens
 
 
-def test_token_ids_are_those_of_tokenizers():
-    path = tokens.default_vocabulary()
-    slow = tokens._slow(path)
+@pytest.fixture(scope="module")
+def plain():
+    """The library itself, as it reads the vocabulary file."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_vocabulary())
+
+
+def test_token_ids_are_those_of_tokenizers(plain):
     r = random.Random(4)
-    sample = ["", "<|endoftext|>", "a" * 4000, " " * 300 + "x", "\n\n \t x's don't", "😀 日本語 ñ"] + ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 0x2FFF), r.randrange(0x4E00, 0x9FFF), r.randrange(0x1F300, 0x1FAFF), 32, 10])) for _ in range(60)) for _ in range(1500)]
-    assert [tokens.encode(x) for x in sample] == [e.ids for e in slow.encode_batch(sample, add_special_tokens=False)]
+    sample = ["", "<|endoftext|>", "a<|endoftext|>b", " <|endoftext|>  x\n<|endoftext|><|endoftext|> y", "<|endoftext|", "x  <|endoftext|>", "a" * 4000, " " * 300 + "x", "\n\n \t x's don't", "😀 日本語 ñ"]
+    sample += ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 0x2FFF), r.randrange(0x4E00, 0x9FFF), r.randrange(0x1F300, 0x1FAFF), 32, 10])) for _ in range(60)) for _ in range(1500)]
+    sample += ["".join(r.choice(["<|endoftext|>", " ", "\n", "word", "é", "<|", "|>"]) for _ in range(12)) for _ in range(300)]
+    assert [tokens.encode(x) for x in sample] == [e.ids for e in plain.encode_batch(sample, add_special_tokens=False)]
+
 
+def test_token_ids_of_the_table(spark, plain):
+    from pathlib import Path
 
-def test_packing(docs, texts, nothing):
+    path = Path("/root/testdata/sf0.001/documents.parquet")
+    if not path.exists():
+        pytest.skip("no such table here")
+    rows = [r["text"] or "" for r in spark.read.parquet(str(path)).select("text").collect()]
+    assert [tokens.encode(x) for x in rows] == [e.ids for e in plain.encode_batch(rows, add_special_tokens=False)]
+
+
+def test_packing(spark, docs, texts, nothing, plain):
+    texts = [*texts, (7000, "one<|endoftext|>two"), (7001, "<|endoftext|> ")]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(texts[-2:], "doc_id long, text string")).withColumn("length", F.lit("x")).withColumn("rank", F.lit(1))
     rows = packing.packed(docs, size=64).collect()
-    slow = tokens._slow(tokens.default_vocabulary())
     want = Counter()
     for i, t in texts:
-        ids = np.array([*slow.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         for a in range(0, len(ids), 64):
             want[i, a, len(ids[a : a + 64]), zlib.crc32(ids[a : a + 64].tobytes()), len(ids)] += 1
     assert Counter(tuple(r)[:5] for r in rows) == want
@@ -283,11 +310,25 @@ def test_packing(docs, texts, nothing):
     assert packing.packed(nothing).count() == 0
 
 
+def piece_by_piece(counts, size):
+    """Room left in each pack when every single piece, longest first, goes to the emptiest pack that has room."""
+    rooms = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            most = max(rooms, default=0)
+            if most >= length:
+                rooms.remove(most)
+                rooms.append(most - length)
+            else:
+                rooms.append(size - length)
+    return sorted(rooms)
+
+
 def test_shortest_pack_first():
     r = random.Random(1)
     for size in (1, 7, 64, 2048):
         for _ in range(30):
-            counts = Counter(min(size, int(r.expovariate(4 / size)) + 1) for _ in range(r.randint(0, 3000)))
+            counts = Counter(min(size, int(r.expovariate(r.choice([2, 4, 30]) / size)) + 1) for _ in range(r.randint(0, 600)))
             packs = packing.shortest_pack_first(dict(counts), size)
             used = Counter()
             for n, lengths in packs:
@@ -296,10 +337,11 @@ def test_shortest_pack_first():
                 for x in lengths:
                     used[x] += n
             assert used == counts
+            assert sorted(size - sum(lengths) for n, lengths in packs for _ in range(n)) == piece_by_piece(counts, size)
 
 
-def test_token_counts(docs, texts, nothing):
-    lengths = [len(tokens.encode(t or "")) for _, t in texts]
+def test_token_counts(docs, texts, nothing, plain):
+    lengths = [len(plain.encode(t or "", add_special_tokens=False).ids) for _, t in texts]
     rows = {r["length"]: r for r in token_counts.length_totals(token_counts.length_histogram(docs)).collect()}
     assert set(rows) == set(lengths)
     for x, r in rows.items():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -27,31 +28,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tuned(spark: SparkSession) -> None:
-    """Small Arrow batches: some documents are very long. The executors get this package."""
+    """Small Arrow batches, as some documents are very long, where the session names no size of its own. The executors get
+    this package."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it names none, a local session gets a folder of
+    this machine; a cluster, whose executors would each write to their own disk, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "velamen-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "velamen-shared")
 
 
-def written(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and any executor can read it again.
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    What a shuffle has dealt out is written in fewer files, two a core or an eighth of the shuffle's partitions; `wide`
-    tables, which come straight from a scan, keep its partitions.
-    """
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: its lineage is cut, and any executor can read it again. What dropped() has not
+    deleted by then goes with the application, as plans that are returned may still read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/velamen-{name}-{uuid.uuid4().hex}"
-    if not wide:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
+    at, files = _file_system(spark, path)
+    files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._velamen_path = path
     return out
@@ -60,8 +68,8 @@ def written(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of written() that no later plan reads."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._velamen_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        at, files = _file_system(df.sparkSession, df._velamen_path)
+        files.delete(at, True)
 
 
 def only(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
@@ -106,27 +114,45 @@ def _powers(n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
 def words(raw: np.ndarray, offsets: np.ndarray, marks: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of each row with A-Z lower-cased: 64-bit hashes, byte starts, byte ends,
     and per row the index of its first word (n + 1 values). UTF-8 keeps ASCII white space out of other characters.
-    Without marks, words are runs of ASCII letters and digits and of all characters beyond ASCII."""
+    Without marks, words are runs of ASCII letters and digits and of all characters beyond ASCII.
+
+    Besides three bytes a byte of text, memory goes with the number of words: long texts are hashed in slices."""
     low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
     if marks:
         word = ~((low == 32) | ((low >= 9) & (low <= 13)))
     else:
         word = ((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57)) | (low >= 128)
-    first = word.copy()
+    first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
     inner = offsets[(offsets > 0) & (offsets < len(raw))]
     first[inner] = word[inner]
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, starts, np.zeros(len(offsets), np.int64)
-    of = np.flatnonzero(word)
-    run = np.searchsorted(of, starts)
-    lengths = np.diff(np.append(run, len(of)))
-    place = np.arange(len(of)) - np.repeat(run, lengths)
-    powers = _powers(int(lengths.max()))
-    hashes = np.add.reduceat((low[of].astype(np.uint64) + np.uint64(1)) * powers[place], run)
-    hashes = mix(hashes ^ lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return hashes, starts, starts + lengths, np.searchsorted(starts, offsets)
+    last[inner - 1] = word[inner - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    hashes = np.zeros(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + CHUNK_BYTES, "right")))
+        hashes[a:b] = _hashed(low, starts[a:b], ends[a:b])
+        a = b
+    return hashes, starts, ends, np.searchsorted(starts, offsets)
+
+
+def _hashed(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each word, by powers of its own length; a word of many chunks is summed chunk by chunk."""
+    lengths = ends - starts
+    if len(starts) == 1 and lengths[0] > CHUNK_BYTES:
+        total, power, powers = 0, 1, _powers(CHUNK_BYTES + 1)
+        for a in range(int(starts[0]), int(ends[0]), CHUNK_BYTES):
+            part = low[a : min(a + CHUNK_BYTES, int(ends[0]))]
+            total += int(((part.astype(np.uint64) + np.uint64(1)) * powers[: len(part)]).sum(dtype=np.uint64)) * power
+            power = power * int(powers[CHUNK_BYTES]) % 2**64
+        sums = np.array([total % 2**64], np.uint64)
+    else:
+        run = np.cumsum(lengths) - lengths
+        place = np.arange(int(lengths.sum())) - np.repeat(run, lengths)
+        sums = np.add.reduceat((low[np.repeat(starts, lengths) + place].astype(np.uint64) + np.uint64(1)) * _powers(int(lengths.max()))[place], run)
+    return mix(sums ^ lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:

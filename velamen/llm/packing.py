@@ -34,16 +34,14 @@ def _pieces(size: int, end: int, path: str | None):
 
 
 def shortest_pack_first(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
-    """(how many packs, their lengths) for `counts` pieces of each length: longest lengths first, each into the
-    emptiest pack; a new pack only where no open one has room. Packs that are alike are one pattern with a count."""
+    """(how many packs, their lengths) for `counts` pieces of each length: longest lengths first, each piece into the
+    emptiest pack that has room; a new pack only where none has. Packs that are alike are one pattern with a count, so
+    that the pieces of a length are placed pattern by pattern: first one into each of the emptiest packs, and where no
+    pack has room, new packs are filled one after another, as a new pack is the emptiest until it is full."""
     by_room: dict[int, list[tuple[int, list[int]]]] = {}
     for length in sorted(counts, reverse=True):
-        left, fresh = counts[length], []
-        while left:
-            room = max(by_room, default=0)
-            if room < length:
-                fresh.append((left, [length], size - length))
-                break
+        left = counts[length]
+        while left and (room := max(by_room, default=0)) >= length:
             patterns = by_room[room]
             n, lengths = patterns.pop()
             if n > left:
@@ -52,19 +50,11 @@ def shortest_pack_first(counts: dict[int, int], size: int) -> list[tuple[int, li
             if not patterns:
                 del by_room[room]
             left -= n
-            rest = room - length
-            # a pack that is filled in this turn is again open for pieces of this length
-            by_room.setdefault(rest, []).append((n, [*lengths, length]))
-        for n, lengths, rest in fresh:
-            each = size // length
-            if each > 1:  # what would go into fresh packs goes round them, as the emptiest is always a fresh one
-                packs = -(-n // each)
-                low, more = divmod(n, packs)
-                for k, m in ((low + 1, more), (low, packs - more)):
-                    if m and k:
-                        by_room.setdefault(size - k * length, []).append((m, [length] * k))
-            else:
-                by_room.setdefault(rest, []).append((n, lengths))
+            by_room.setdefault(room - length, []).append((n, [*lengths, length]))
+        each = size // length
+        for n, k in ((left // each, each), (1, left % each)):
+            if n and k:
+                by_room.setdefault(size - k * length, []).append((n, [length] * k))
     return [p for room in sorted(by_room) for p in by_room[room]]
 
 
@@ -89,7 +79,7 @@ def packed(docs: DataFrame, size: int = 2048, end: int = 1, vocabulary: str | No
     spark = docs.sparkSession
     tuned(spark)
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batched(_pieces(size, end, vocabulary)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
-    pieces = written(pieces, "pieces", wide=True)
+    pieces = written(pieces, "pieces")
     counts = dict(pieces.groupBy("length").count().collect())  # at most `size` rows
     used, places, first = dict.fromkeys(counts, 0), [], 0
     for n, lengths in shortest_pack_first(counts, size):

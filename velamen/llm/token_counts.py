@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batched, tuned
+from .common import batched, tuned, written
 from .tokens import encode
 
 #: Lengths of a block that running sums are formed in.
@@ -16,7 +16,9 @@ BLOCK = 512
 
 
 def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """length, n_docs: how many rows of docs (text) have so many tokens. Null and empty texts have none."""
+    """length, n_docs: how many rows of docs (text) have so many tokens, as a table in the shared folder: texts are
+    encoded once, whatever is asked of the histogram. Null and empty texts have no tokens; repeated rows count each; an
+    empty table has no lengths. Other columns are ignored."""
     tuned(docs.sparkSession)
     schema = pa.schema([("length", pa.int64()), ("n_docs", pa.int64())])
 
@@ -26,7 +28,8 @@ def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFram
             found.update(len(encode(x.as_py() or "", vocabulary)) for x in batch.column("text"))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], schema=schema)
 
-    return docs.select("text").mapInArrow(batched(run), "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    counts = docs.select("text").mapInArrow(batched(run), "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    return written(counts, "lengths")
 
 
 def length_totals(histogram: DataFrame) -> DataFrame:
@@ -34,7 +37,8 @@ def length_totals(histogram: DataFrame) -> DataFrame:
     tokens_at_most, tokens_over, truncated_total (tokens that are left when documents are cut at L), lost_tokens and
     quantile (share of documents with at most L tokens).
 
-    Sums over blocks of lengths and sums within blocks are formed apart, so that no task needs all lengths.
+    Sums over blocks of lengths and sums within blocks are formed apart, so that no task needs all lengths. A histogram
+    names each length once; an empty one gives no rows.
     """
     block = F.floor(F.col("length") / BLOCK)
     rows = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), block.alias("block"))
