@@ -197,7 +197,7 @@ def test_kneser_ney_sums_to_one():
 def test_contaminated(spark, docs, nothing):
     r = random.Random(5)
     prose = lambda n: " ".join("".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 7))) for _ in range(n))
-    items = [(i, prose(r.randint(8, 50)).capitalize() + "? " + prose(6) + ".") for i in range(150)] + [(500, prose(700)), (501, None), (502, "two words"), (503, ""), (None, prose(20))]
+    items = [(i, prose(r.randint(8, 50)).capitalize() + "? " + prose(6) + ".") for i in range(150)] + [(500, prose(700)), (501, None), (502, "Zwei kurze Wörter hier?"), (503, ""), (504, "?!"), (505, "xyzzy"), (None, prose(20))]
     texts, expected = [], set()
     for d in range(200):
         words = prose(r.randint(0, 300)).split()
@@ -211,7 +211,8 @@ def test_contaminated(spark, docs, nothing):
             own = items[r.randrange(150)][1].split()
             words += own[: len(own) // 2]
         texts.append((d, " ".join(words)))
-    texts += [(1000, None), (1001, ""), (None, items[0][1])]
+    texts += [(1000, None), (1001, ""), (None, items[0][1]), (1002, "und zwei KURZE\nwörter, hier: mehr"), (1003, "zwei kurze hier wörter"), (1004, "a xyzzy"), (1005, prose(90_000) + " " + items[3][1] + " " + prose(90_000))]
+    expected |= {(1002, 502), (1004, 505), (1005, 3)}
     it = spark.createDataFrame(items, "item_id long, text string").withColumn("score", F.lit(1))
     got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string").withColumn("overlap", F.lit(1)), it).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == expected | {(None, 0)}
@@ -219,12 +220,17 @@ def test_contaminated(spark, docs, nothing):
     assert decontaminate.contaminated(docs, it.limit(0)).count() == 0 and decontaminate.contaminated(nothing, it).count() == 0
 
 
-def test_contaminated_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 3)
-    items = spark.createDataFrame([(i, f"uno dos tres cuatro cinco seis w{i} x{i} y{i} z{i}") for i in range(10)], "item_id long, text string")
-    docs = spark.createDataFrame([(i, f"antes uno dos tres cuatro cinco seis w{i} x{i} y{i} z{i} y más") for i in range(12)], "doc_id long, text string")
-    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()} == {(i, i) for i in range(10)}
-    assert {r["doc_id"] for r in decontaminate.clean(docs, items).collect()} == {10, 11}
+def test_several_indexes(spark, monkeypatch):
+    """Scores do not depend on how many indexes hold the items."""
+    item = lambda i: f"uno dos tres cuatro cinco seis w{i} x{i} y{i} z{i}" + " más" * (i % 5)
+    items = spark.createDataFrame([(i, item(i)) for i in range(10)] + [(7, "otro texto del mismo número que el siete")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"antes {item(i)} y nada") for i in range(12)] + [(None, f"antes {item(3)} hoy"), (11, f"{item(4)} o no")], "doc_id long, text string")
+    whole = sorted((str(r["doc_id"]), r["item_id"], round(r["score"], 9), r["overlap"]) for r in decontaminate.contaminated(docs, items).collect())
+    assert {(i, j) for i, j, _, _ in whole} == {(str(i), i) for i in range(10)} | {("None", 3), ("11", 4)}
+    monkeypatch.setattr(decontaminate, "PART_TERMS", 25)
+    assert decontaminate.index_table(items).count() > 2
+    assert whole == sorted((str(r["doc_id"]), r["item_id"], round(r["score"], 9), r["overlap"]) for r in decontaminate.contaminated(docs, items).collect())
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).orderBy("doc_id").collect()] == [10, 11]
 
 
 def test_questions_and_answers():
@@ -233,27 +239,38 @@ def test_questions_and_answers():
     assert cut("One. Two. Three.") == ("One. Two.", "Three.") and cut("Only one") == ("Only one", "") and cut("Why?") == ("Why?", "")
 
 
-def test_search_is_exact():
-    """Block-max pruning loses no passage that full scoring finds."""
+@pytest.mark.parametrize(("least", "vocabulary_size"), [(0.7, 80), (0.5, 400), (0.3, 2000)])
+def test_search_is_exact(monkeypatch, least, vocabulary_size):
+    """Skipping loses no passage that plain BM25 over all items finds, and scores are its scores."""
+    monkeypatch.setattr(decontaminate, "SLICE_WORDS", 64)
+    monkeypatch.setattr(decontaminate, "ROWS", 50)
     r = random.Random(2)
-    vocabulary = [f"v{i}" for i in range(80)]
-    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(6, 20)))) for i in range(300)]
-    index = decontaminate.Index.of(items, 32)
-    raw, at = common.text_bytes(pa.array([" ".join(r.choice(vocabulary) for _ in range(n)) for n in (0, 5, 31, 32, 33, 64, 200)]))
+    vocabulary = [f"v{i}" for i in range(vocabulary_size)]
+    items = [[r.choice(vocabulary) for _ in range(r.randint(1, 20))] for i in range(300)]
+    n, mean = len(items), sum(map(len, items)) / len(items)
+    df = Counter(w for x in items for w in set(x))
+
+    def weight(item, words):
+        tf = Counter(item)
+        return sum(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(item) / mean)) for w in tf if w in words)
+
+    texts = [[r.choice(vocabulary) for _ in range(k)] for k in (0, 5, 31, 32, 33, 64, 200, 700)]
+    for k in range(0, 60, 7):  # parts of items
+        texts[-1][10 * k : 10 * k + 12] = items[k][:12]
+    [index] = decontaminate.indexes(list(range(n)), [" ".join(x) for x in items], decontaminate.statistics([" ".join(x) for x in items]), 32)
+    raw, at = common.text_bytes(pa.array([" ".join(x) for x in texts]))
     hashes, _, _, first = common.words(raw, at, marks=False)
-    got = {(int(d), int(a), int(i)): s for d, a, _, i, s in zip(*index.search(hashes, first, 0.7), strict=True)}
+    got = {}
+    for d, a, _, i, s in index.search(hashes, first, least):
+        got[d, a - int(first[d]), i] = max(s, got.get((d, a - int(first[d]), i), 0))
     want = {}
-    for d, (x, y) in enumerate(zip(first, first[1:])):
-        for a in range(x, max(y, x + 1), 32):
-            if a > x and a + 0 >= y:
-                continue
-            terms = set(hashes[a : min(a + 64, y)].tolist())
-            for i in range(len(items)):
-                t = [k for k in range(len(index.terms)) if index.terms[k] in terms]
-                s = sum(float(index.score[p]) for k in t for p in range(index.first[k], index.first[k + 1]) if index.item[p] == i)
-                if s >= 0.7:
+    for d, text in enumerate(texts):
+        for a in range(0, len(text), 32):
+            words = set(text[a : a + 64])
+            for i, item in enumerate(items):
+                if (s := weight(item, words) / weight(item, set(item))) >= least:
                     want[d, a, i] = s
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want) and want
 
 
 # --- tokens
