@@ -29,6 +29,19 @@ def test_one_text_in_half_of_all_rows(spark):
     check(rows, texts, 16, 120)
 
 
+def test_pieces_of_a_shard(spark, monkeypatch):
+    """Small pieces: slots follow the sort through all of them, also where one text or row fills many."""
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 40)
+    texts = [(i, "the same text" if i % 3 == 0 else f"text {i}") for i in range(3000)] + [(9999, "alike")] * 200
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = sharding.histogram_shards(df, 4).collect()
+    check(rows, texts, 4, 200 * 6 + 60)
+    keys = {(r["doc_id"], r["text"]): (r["k"], r["s"]) for r in df.selectExpr("doc_id", "text", "shiftrightunsigned(xxhash64(text), 1) AS k", "shiftrightunsigned(xxhash64(doc_id), 1) AS s").collect()}
+    text_of = dict(texts)
+    order = [keys[r["doc_id"], text_of[r["doc_id"]]] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))]
+    assert order == sorted(order)
+
+
 def test_few_and_no_rows(spark, nothing):
     assert sharding.histogram_shards(nothing).count() == 0
     rows = sharding.histogram_shards(spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")).collect()

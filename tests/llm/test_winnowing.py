@@ -3,6 +3,7 @@
 import hashlib
 
 import xxhash
+from pyspark.sql import functions as F
 
 from velamen.llm import winnowing
 from velamen.llm.winnowing import K, WINDOW
@@ -53,6 +54,36 @@ def test_ranges_meet(spark, monkeypatch):
     assert sorted(tuple(r) for r in winnowing.winnowed(df).collect()) == sorted(expected(rows))
 
 
+def test_ranges_of_one_id(spark, monkeypatch):
+    """An id, or the null id, that holds most rows is cut by its texts."""
+    monkeypatch.setattr(winnowing, "RANGE_CHARS", 300)
+    rows = [(7 if i % 3 else i, f"text number {i} " + "klmnopqrst"[i % 10] * (i % 40)) for i in range(200)]
+    by = {}
+    for r in winnowing.winnowed(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        by.setdefault((r["doc_id"], r["n_chars"], r["fingerprint"]), []).append(r)
+    order = lambda row: (row[0], (xxhash.xxh64(row[1].encode(), seed=42).intdigest() >> 2))
+    want = {}
+    for x in expected(sorted(rows, key=order)):
+        want.setdefault((x[0], x[1], x[3]), []).append(x)
+    assert {k: sorted(tuple(r) for r in v) for k, v in by.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_segments_meet(spark, monkeypatch):
+    monkeypatch.setattr(winnowing, "SEGMENT", 50)
+    texts = ["abcdefghij" * 40, "x" * 500, "".join(chr(97 + (i * i * 7 + i // 3) % 23) for i in range(3000)), "é日😀" * 90, "a" * 92, "b" * 93]
+    rows = list(enumerate(texts))
+    got = sorted(tuple(r) for r in winnowing.winnowed(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(expected(rows))
+
+
+def test_a_text_of_twenty_million_characters(spark):
+    """Beyond any bound of positions; its last gram is the same one as elsewhere."""
+    n = 20_000_000
+    df = spark.range(3).selectExpr("id AS doc_id", f"CASE WHEN id = 1 THEN concat(repeat('0123456789 ', {n // 11}), 'an end of forty-three characters and a few more') ELSE 'an end of forty-three characters and a few more' END AS text")
+    rows = {r["doc_id"]: r for r in winnowing.winnowed(df).select("doc_id", "n_chars", F.substring("fingerprint", -10, 10).alias("end"), F.element_at("positions", -1).alias("at"), "near_edited").collect()}
+    assert rows[1]["n_chars"] > 19_999_000 and rows[1]["end"] == rows[0]["end"] and rows[1]["at"] > n - 100 and rows[0]["at"] < 50
+
+
 def test_nothing_nulls_and_repeats(spark, nothing):
     assert winnowing.winnowed(nothing).count() == 0
     one = winnowing.winnowed(spark.createDataFrame([(5, "a text of some length, long enough for more than one window of grams")], "doc_id long, text string")).collect()

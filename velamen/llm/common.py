@@ -72,8 +72,8 @@ def dropped(*tables: DataFrame) -> None:
         files.delete(at, True)
 
 
-def only(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join with a key set: broadcast behind a check of its size, else shuffled."""
+def only(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+    """Join with a key set, a semi join if nothing else is said: broadcast behind a check of its size, else shuffled."""
     few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return df.join(F.broadcast(keys) if few else keys, on, how)
 

@@ -4,6 +4,9 @@ Every K characters in a row are one gram. Of each WINDOW consecutive grams the o
 the rightmost where hashes tie, with its position: two texts that share K + WINDOW - 1 characters in a row share a
 kept gram. Texts with fewer grams than a window are one window, texts shorter than a gram are one gram. An empty or
 null text keeps nothing.
+
+Long texts are read in segments of windows, so that the arrays of a step stay small whatever a text's length, and
+positions are full longs. Window minima are formed by doubling: of two neighbours, then of two such pairs, and so on.
 """
 
 from __future__ import annotations
@@ -11,41 +14,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .sharding import refined
+from .common import only, written
+from .sharding import Pieces, cut_points, place
 
 K, WINDOW = 12, 32
-#: Low bits of a value that hold the position, counted down so that the smallest value is the rightmost.
-PLACE_BITS = 24
+#: Characters beyond a window's first that belong to it, less one.
+REACH = K + WINDOW - 2
+#: Windows of a segment; low bits of a value that hold the place in it, counted down so that the smallest is the rightmost.
+SEGMENT, PLACE_BITS = 1 << 16, 24
 PLACES = (1 << PLACE_BITS) - 1
-#: Characters of a range of documents, about, and ranges at most.
-RANGE_CHARS, RANGES_MOST = 6_000_000, 8192
+#: Characters of a range of documents, about; ranges at most (larger ones beyond 2 TB); ranges that are cut by counting.
+RANGE_CHARS, RANGES_MOST, COARSE = 2_000_000, 1 << 20, 256
 
 
-def _with_minima(df: DataFrame, text: str, first: str, out: str) -> DataFrame:
-    """df with `out`: the smallest (hash, counted-down position) of each window; `first` is the first gram's position.
+def _let(value: Column, f) -> Column:
+    """f of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
-    Each step is a column of its own, so that no expression stands twice in the plan.
-    """
-    grams = F.when(F.char_length(text) >= K, F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{K}}}))."), 1)).when(F.char_length(text) > 0, F.array(F.col(text))).otherwise(F.array().cast("array<string>"))
-    at = F.col(first)
-    df = df.withColumn(out, F.transform(grams, lambda g, i: F.xxhash64(g).bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES) - (at + i).bitwiseAND(F.lit(PLACES)))))
-    span = 1
-    while span < WINDOW:
+
+def _minima(piece: Column) -> Column:
+    """The different minima, in order, of the windows of one segment, as (hash, counted-down place) in one long."""
+    grams = F.when(F.char_length(piece) >= K, F.regexp_extract_all(piece, F.lit(f"(?s)(?=(.{{{K}}}))."), 1)).when(F.char_length(piece) > 0, F.array(piece)).otherwise(F.array().cast("array<string>"))
+    values = F.transform(grams, lambda g, i: F.xxhash64(g).bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES) - i))
+
+    def wider(values: Column, span: int) -> Column:
+        if span == WINDOW:  # windows that run over the end only hold what is left; all but the first of a short text go
+            return F.array_distinct(F.slice(values, F.lit(1), F.when(F.size(values) > WINDOW, F.size(values) - (WINDOW - 1)).otherwise(1)))
         step = min(span, WINDOW - span)
-        # windows that run over the end only hold what is left; all but the first of a short text go in the end
-        df = df.withColumn(out, F.zip_with(out, F.slice(out, F.lit(step + 1), F.greatest(F.size(out), F.lit(0))), lambda x, y: F.least(x, y)))
-        span += step
-    return df.withColumn(out, F.slice(out, F.lit(1), F.when(F.size(out) > WINDOW, F.size(out) - (WINDOW - 1)).otherwise(1)))
+        both = F.zip_with(values, F.slice(values, F.lit(step + 1), F.greatest(F.size(values), F.lit(0))), lambda x, y: F.least(x, y))
+        return _let(both, lambda v: wider(v, span + step))
 
+    return _let(values, lambda v: wider(v, 1))
 
-def _print(kept: Column) -> Column:
-    """Ten hexadecimal digits for each kept hash, in the order of the text."""
-    return F.concat_ws("", F.transform(kept, lambda v: F.lower(F.lpad(F.hex(F.shiftrightunsigned(v, PLACE_BITS)), 10, "0"))))
 
+def _with_kept(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the arrays `out` (40-bit hashes of the kept grams) and `out`_at (their positions)."""
+    length = F.char_length(text)
+    segments = F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(length - (REACH + 1), F.lit(0)) / SEGMENT).cast("long"))
+    piece = lambda s: F.substring(F.col(text), (s * SEGMENT + 1).cast("int"), F.lit(SEGMENT + REACH))
+    place_of = lambda v, s: s * SEGMENT + (F.lit(PLACES) - v.bitwiseAND(F.lit(PLACES)))
+    df = df.withColumn("_parts", F.when(length <= SEGMENT + REACH, F.array(_minima(F.col(text)))).otherwise(F.transform(segments, lambda s: _minima(piece(s)))))
+    # a gram that two segments keep is the last of one and the first of the next
+    again = lambda p, s: (s > 0) & (place_of(F.get(p, F.lit(0)), s) == place_of(F.element_at(F.get(F.col("_parts"), s - 1), -1), s - 1))
+    once = F.transform("_parts", lambda p, s: F.when(again(p, s), F.slice(p, F.lit(2), F.size(p))).otherwise(p))
+    df = df.withColumn("_parts", F.when(F.size("_parts") > 1, once).otherwise(F.col("_parts")))
+    df = df.withColumn(out, F.flatten(F.transform("_parts", lambda p: F.transform(p, lambda v: F.shiftright(v, PLACE_BITS)))))
+    return df.withColumn(f"{out}_at", F.flatten(F.transform("_parts", lambda p, s: F.transform(p, lambda v: place_of(v, s.cast("long")))))).drop("_parts")
 
-def _set(kept: Column) -> Column:
-    return F.array_distinct(F.transform(kept, lambda v: F.shiftright(v, PLACE_BITS)))
+
+def _print(kept: Column) -> Column:
+    """Ten hexadecimal digits for each kept hash, in the order of the text."""
+    return F.concat_ws("", F.transform(kept, lambda v: F.lower(F.lpad(F.hex(v.bitwiseAND(F.lit((1 << 40) - 1))), 10, "0"))))
 
 
 def _likeness(a: Column, b: Column) -> Column:
@@ -54,13 +73,45 @@ def _likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(common / (F.size(a) + F.size(b) - common)).cast("double")
 
 
-def _place(key: Column, edges: list[int]) -> Column:
-    """How many of the sorted edges are at or below the key, by a search in two steps."""
-    step = max(1, int(len(edges) ** 0.5))
-    groups = [edges[i : i + step] for i in range(0, len(edges), step)] or [[2**63 - 1]]
-    at = F.size(F.filter(F.lit([g[0] for g in groups]), lambda x: x <= key))
-    inner = F.size(F.filter(F.element_at(F.array(*[F.lit(g) for g in groups]), at), lambda x: x <= key))
-    return F.when(at == 0, F.lit(0)).otherwise((at - 1) * step + inner)
+def _neighbours(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) dealt out in ranges of the order by doc_id and text hash, with the first document of each range
+    once more behind the last of the range before (`own` is false there), and the first of all behind the last of all."""
+    number = F.coalesce("doc_id", F.lit(-(2**63)))
+    # both orders in numbers from 0 up: all bits of the id but the last, and that one in front of the hash
+    key = F.shiftrightunsigned(number.bitwiseXOR(F.lit(-(2**63))), 1)
+    sub = F.shiftleft(number.bitwiseAND(F.lit(1)), 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("text"), 2))
+    docs = docs.withColumn("key", key).withColumn("sub", sub)
+    sizes = written(docs.select("key", "sub", (F.char_length("text") + 1).cast("long").alias("size")), "sizes")
+    total, least, most = sizes.agg(F.sum("size"), F.min("key"), F.max("key")).first()
+    total, least, most = total or 0, least or 0, most or 0
+    ranges = max(16, min(RANGES_MOST, total // RANGE_CHARS))
+    coarse = min(COARSE, ranges)
+    fine = -(-ranges // coarse)
+    bounds = cut_points(sizes, [(total * j // coarse, total // coarse // 8) for j in range(1, coarse)], total)
+    # within a coarse range keys are cut evenly
+    lows, highs = [least, *(min(a, most) for a, _ in bounds)], [*(min(a, most) for a, _ in bounds), most]
+    array = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+    def celled(df: DataFrame) -> DataFrame:
+        df = df.withColumn("range", place(F.col("key"), F.col("sub"), bounds))
+        low, width = (F.element_at(array(x), F.col("range") + 1) for x in (lows, [max(1, -(-(b - a + 1) // fine)) for a, b in zip(lows, highs, strict=True)]))
+        nth = F.floor((F.greatest(F.col("key"), low) - low) / width)
+        return df.withColumn("cell", (F.col("range") * fine + F.least(nth, F.lit(fine - 1))).cast("long")).drop("range")
+
+    sizes = celled(sizes)
+    pieces = Pieces(sizes, F.col("size"), max(RANGE_CHARS, total // ranges))
+    name = F.struct(*Pieces.NAME)
+    firsts = pieces.named(sizes).groupBy(*Pieces.NAME).agg(F.min(F.struct("key", "sub")).alias("first"))
+    # one row a piece, whose number is bounded
+    order = Window.orderBy(*Pieces.NAME)
+    last = F.last(name).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ghosts = firsts.select(F.col("first.key").alias("key"), F.col("first.sub").alias("sub"), F.coalesce(F.lag(name).over(order), last).alias("to"), (F.row_number().over(order) == 1).cast("int").alias("round"))
+
+    rows = only(pieces.named(celled(docs)), written(ghosts, "ghosts"), ["key", "sub"], "left")
+    own = F.struct(name.alias("piece"), F.lit(0).alias("round"), F.lit(True).alias("own"))
+    ghost = F.struct(F.col("to").alias("piece"), F.col("round").alias("round"), F.lit(False).alias("own"))
+    rows = rows.select("doc_id", "key", "sub", "text", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, ghost))).alias("at"))
+    return rows.select("doc_id", "key", "sub", "text", "at.piece.*", "at.round", "at.own").repartition(*Pieces.NAME)
 
 
 def winnowed(docs: DataFrame) -> DataFrame:
@@ -70,39 +121,27 @@ def winnowed(docs: DataFrame) -> DataFrame:
     The edited text has its last n_chars / 4 characters (rounded down) replaced by the first as many, or all, of the
     next document: ascending doc_id, the smallest after the largest; rows that repeat a doc_id follow each other in
     the order of their texts' hashes, a null doc_id comes first. Null texts are empty. positions are those of the
-    fingerprint's grams. Other columns are ignored.
+    fingerprint's grams. Texts may have any length, a doc_id any number of rows; rows that are alike in both stay in one
+    range. Other columns are ignored; an empty table has no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    number = F.coalesce("doc_id", F.lit(-(2**63)))
-    key = F.shiftrightunsigned(number.bitwiseXOR(F.lit(-(2**63))), 1)
-    sizes = written(docs.select(number.alias("number"), key.alias("key"), (F.char_length("text") + 1).cast("long").alias("size")), "sizes")
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    n = max(16, min(RANGES_MOST, total // RANGE_CHARS))
-    found = refined(sizes.select(F.lit(None).cast("long").alias("base"), "key", "size"), [(j, total * j // n, total // n // 8, None) for j in range(1, n)], {}, total) if total else {}
-    edges = sorted({min(x[0], 2**63 - 1) for x in found.values()})
-    firsts = sizes.groupBy(_place(F.col("key"), edges).alias("range")).agg(F.min("number").alias("number")).orderBy("range").collect()
-    # the next range's first documents are also read at the end of this one
-    ghosts = [(r["number"], firsts[i - 1]["range"], int(i == 0)) for i, r in enumerate(firsts)] or [(0, 0, 0)]
-    ghosts = docs.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"({a}L, {b}, {c})" if a > -(2**63) else f"(-9223372036854775807L - 1L, {b}, {c})" for a, b, c in ghosts) + " AS t(number, to, round)")
-
-    rows = docs.select("doc_id", "text", number.alias("number"), _place(key, edges).alias("range")).join(F.broadcast(ghosts), "number", "left")
-    own = F.struct(F.col("range").alias("range"), F.lit(0).alias("round"), F.lit(True).alias("own"))
-    ghost = F.struct(F.col("to").alias("range"), F.col("round").alias("round"), F.lit(False).alias("own"))
-    rows = rows.select("doc_id", "number", "text", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, ghost))).alias("at"))
-    rows = rows.select("doc_id", "number", "text", "at.range", F.col("at.round").alias("round"), F.col("at.own").alias("own")).repartition("range")
-    rows = _with_minima(rows.withColumn("origin", F.lit(0).cast("long")), "text", "origin", "minima").withColumn("kept", F.array_distinct("minima")).withColumn("set", _set(F.col("kept")))
-    order = Window.partitionBy("range").orderBy("round", "number", ~F.col("own"), F.xxhash64("text"))
+    rows = _with_kept(_neighbours(docs), "text", "kept").withColumn("set", F.array_distinct("kept"))
+    order = Window.partitionBy(*Pieces.NAME).orderBy("round", "key", "sub", ~F.col("own"))
     rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_set", F.lead("set").over(order)).where("own")
 
     length = F.char_length("text")
     rows = rows.withColumn("n_chars", length.cast("long")).withColumn("keep", length - F.floor(length / 4).cast("int"))
     rows = rows.withColumn("donor", F.substring("next_text", F.lit(1), F.col("n_chars").cast("int") - F.col("keep")))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("keep")), "donor"))
-    rows = rows.withColumn("cut", F.greatest(F.col("keep") - (K + WINDOW - 2), F.lit(0)))
-    # windows that lie within the kept characters are those of the text
-    rows = rows.withColumn("origin", F.col("cut").cast("long")).withColumn("rest", F.when((F.col("cut") > 0) & (F.col("donor") == ""), F.lit("")).otherwise(F.substring("edited", F.col("cut") + 1, F.length("edited"))))
-    rows = _with_minima(rows, "rest", "origin", "tail").withColumn("edited_kept", F.array_distinct(F.concat(F.slice("minima", F.lit(1), F.col("cut")), "tail")))
-    rows = rows.withColumn("edited_set", _set(F.col("edited_kept")))
+    # windows that lie within the kept characters are those of the text: so many, and so many grams that they keep
+    rows = rows.withColumn("cut", F.greatest(F.col("keep") - REACH, F.lit(0)))
+    came = lambda h, i: F.when(i == 0, F.lit(0)).when(h <= F.get("kept", i - 1), F.get("kept_at", i) - (WINDOW - 1)).otherwise(F.get("kept_at", i - 1) + 1)
+    rows = rows.withColumn("same", F.size(F.filter("kept", lambda h, i: came(h, i) < F.col("cut"))))
+    rows = rows.withColumn("rest", F.when((F.col("cut") > 0) & (F.col("donor") == ""), F.lit("")).otherwise(F.substring("edited", F.col("cut") + 1, F.length("edited"))))
+    rows = _with_kept(rows, "rest", "tail")
+    twice = (F.col("same") > 0) & (F.get("tail_at", F.lit(0)) + F.col("cut") == F.get("kept_at", F.col("same") - 1))
+    tail = F.when(twice, F.slice("tail", F.lit(2), F.size("tail"))).otherwise(F.col("tail"))
+    rows = rows.withColumn("edited_kept", F.concat(F.slice("kept", F.lit(1), F.col("same")), tail)).withColumn("edited_set", F.array_distinct("edited_kept"))
     return rows.select(
         "doc_id",
         "n_chars",
@@ -111,5 +150,5 @@ def winnowed(docs: DataFrame) -> DataFrame:
         _print(F.col("edited_kept")).alias("edited_fingerprint"),
         _likeness(F.col("set"), F.col("edited_set")).alias("near_edited"),
         _likeness(F.col("set"), F.col("next_set")).alias("near_next"),
-        F.transform("kept", lambda v: F.lit(PLACES) - v.bitwiseAND(F.lit(PLACES))).alias("positions"),
+        F.col("kept_at").alias("positions"),
     )
