@@ -8,13 +8,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left
+from dataclasses import dataclass
 from functools import lru_cache
 from urllib.parse import unquote
 
 import regex
 
 from .text import FOLD_FROM, FOLD_TO
-from .vocabulary import ADDRESS_WORDS, LABEL, NAME_PARTICLES, PRIORITY, PROSE_VERBS
+from .vocabulary import ADDRESS_WORDS, FINDING_LINE, FINDING_PERSON, FINDINGS, LABEL, NAME_PARTICLES, PRIORITY, PROSE_VERBS
 
 _FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
 _PARTICLES, _ADDRESS, _VERBS = frozenset(NAME_PARTICLES), frozenset(ADDRESS_WORDS), frozenset(PROSE_VERBS)
@@ -24,14 +25,18 @@ _BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 # --- forms
 
 
+_NOT_WORD = regex.compile(r"[^\p{L}\p{Nd}]+")
+
+
 def canonical(text: str) -> str:
-    bare = (c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
-    return "".join(c for c in bare if c.isalpha() or unicodedata.category(c) == "Nd").lower()
+    return _NOT_WORD.sub("", unicodedata.normalize("NFD", text)).lower()
+
+
+_MARKS = regex.compile(r"\p{Mn}+")
 
 
 def canonical_words(text: str) -> str:
-    bare = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
-    return " ".join("".join(c if c.isalpha() or unicodedata.category(c) == "Nd" else " " for c in bare).lower().split())
+    return _NOT_WORD.sub(" ", _MARKS.sub("", unicodedata.normalize("NFD", text))).strip(" ").lower()
 
 
 def fold(text: str) -> str:
@@ -61,11 +66,11 @@ def surname_group(name: str) -> list[str]:
 # --- normalization with the range of the source that each character comes from
 
 
-def _replaced(text: str, spans: list[tuple[int, int]], pattern: regex.Pattern, change) -> tuple[str, list[tuple[int, int]]]:
-    """text with every match changed. A character that stays keeps its range, one that is new takes the place it has
-    in the match; the first and the last of a match reach to the match's ends."""
+def _replaced(text: str, spans: list[tuple[int, int]], pattern: regex.Pattern, change, begin: int) -> tuple[str, list[tuple[int, int]]]:
+    """text with every match from `begin` on changed. A character that stays keeps its range, one that is new takes the
+    place it has in the match; the first and the last of a match reach to the match's ends."""
     out, ranges, last = [], [], 0
-    for m in pattern.finditer(text):
+    for m in pattern.finditer(text, begin):
         a, b = m.span()
         new = change(m.group())
         if new == m.group():
@@ -123,10 +128,10 @@ def normalized(source: str) -> tuple[str, list[int] | None, list[int] | None]:
             spans += [m.span()] * len(new)
         text = "".join(out)
     for pattern, change in _STEPS:
-        if any(change(m.group()) != m.group() for m in pattern.finditer(text)):
+        if m := next((m for m in pattern.finditer(text) if change(m.group()) != m.group()), None):
             if spans is None:
                 spans = [(i, i + 1) for i in range(len(text))]
-            text, spans = _replaced(text, spans, pattern, change)
+            text, spans = _replaced(text, spans, pattern, change, m.start())
     blank = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f"
     a, b = len(text) - len(text.lstrip(blank)), len(text.rstrip(blank))
     if spans is None and b - a == len(source):
@@ -184,54 +189,64 @@ _SINGLE = regex.compile(f"(?!{PARTICLE}){NAME_WORD}(?![\\p{{L}}'’-])(?!{SOFT_S
 _LEADING = regex.compile(FUNCTION_WORD + SOFT_SPACE)
 
 
-def _words(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    return [(a + m.start(), a + m.end()) for m in re.finditer(r"\S+", text[a:b])]
-
-
-def _capitals(word: str) -> bool:
-    return len(word) >= 2 and not any(c.islower() for c in word)
-
-
-def refined_end(text: str, a: int, b: int, after_honorific: bool = False) -> int:
-    """Where a name ends that may have run into the next field; -1 if too little is left to be one.
-
-    Behind a line break an address word, or a change between capitals and mixed case, begins a new field; on the same
-    line a verb of prose ends a name of two words. One word is enough behind a form of address.
-    """
-    words = _words(text, a, b)
-    if not words:
-        return -1
-    capitals, kept = _capitals(text[slice(*words[0])]), 1
-    for before, word in zip(words, words[1:]):
-        value = text[slice(*word)]
-        if "\n" in text[before[1] : word[0]]:
-            if canonical(value) in _ADDRESS or _capitals(value) != capitals:
-                break
-        elif kept >= 2 and canonical(value) in _VERBS:
-            break
-        kept += 1
-    end = words[kept - 1][1]
-    if kept < 2 and not (after_honorific and _SINGLE.fullmatch(text[a:end])):
-        return -1
-    return end
-
-
-def refined_after_cue(text: str, a: int, b: int, after_honorific: bool, known) -> int:
-    """refined_end() of a name behind a cue, whose lower-case words must be known names; particles don't end it."""
-    b = refined_end(text, a, b, after_honorific)
-    if b < 0:
-        return -1
-    end, names = a, 0
-    for w in _words(text, a, b):
-        word = text[slice(*w)]
-        if _PARTICLE.fullmatch(word):
-            if not names:
-                return -1
-            continue
-        if not _NAME_WORD.fullmatch(word) and word != "Mª" and not known(canonical(word)):
-            break
-        names, end = names + 1, w[1]
-    return -1 if end == a else refined_end(text, a, end, after_honorific)
+@dataclass(frozen=True)
+class NameWord:
+    """A word of what a pattern has taken for a name, and what tells whether it is one."""
+
+    start: int
+    end: int
+    value: str
+    below: bool  # on another line than the word before
+    capitals: bool
+
+    @property
+    def form(self) -> str:
+        return canonical(self.value)
+
+    @property
+    def kind(self) -> str:
+        """p: a particle; n: written as a name; x: neither."""
+        if _PARTICLE.fullmatch(self.value):
+            return "p"
+        return "n" if self.value == "Mª" or _NAME_WORD.fullmatch(self.value) else "x"
+
+
+def name_words(text: str, a: int, b: int) -> list[NameWord]:
+    out, last = [], a
+    for m in re.finditer(r"\S+", text[a:b]):
+        value, start = m.group(), a + m.start()
+        out.append(NameWord(start, a + m.end(), value, "\n" in text[last:start], len(value) >= 2 and not any(c.islower() for c in value)))
+        last = a + m.end()
+    return out
+
+
+def one_field(words: list[NameWord]) -> list[NameWord]:
+    """The words that are still the field that the first one opened: a line that begins with an address word, or changes
+    between capitals and mixed case, is another; on the same line a verb of prose behind two words is."""
+
+    def foreign(nth: int, word: NameWord) -> bool:
+        return word.form in _ADDRESS or word.capitals != words[0].capitals if word.below else nth >= 2 and word.form in _VERBS
+
+    return words[: next((i for i, w in enumerate(words) if i and foreign(i, w)), None)]
+
+
+def _suffices(words: list[NameWord], text: str, alone: bool) -> bool:
+    """Two words make a name; one does where it may stand alone and has the form of a name."""
+    return len(words) >= 2 or bool(words and alone and _SINGLE.fullmatch(text[words[0].start : words[0].end]))
+
+
+#: By the kinds of words: a name begins with a name and ends with one; particles stand between; a stranger ends it.
+_NAME_KINDS = re.compile("n(?:p*n)*")
+
+
+def cued_name(text: str, a: int, b: int, alone: bool, known) -> tuple[int, int] | None:
+    """The name that stands behind a cue in text[a:b]. Words in lower case count if they are known names; alone: one word
+    is enough, as behind a form of address."""
+    words = one_field(name_words(text, a, b))
+    kinds = "".join("n" if w.kind == "x" and known(w.form) else w.kind for w in words)
+    found = _NAME_KINDS.match(kinds)
+    words = words[: found.end()] if found else []
+    return (words[0].start, words[-1].end) if _suffices(words, text, alone) else None
 
 
 def behind_postal_code(text: str, start: int) -> bool:
@@ -239,25 +254,26 @@ def behind_postal_code(text: str, start: int) -> bool:
     return len(before) == 5 and before.isdigit() and 1 <= int(before[:2]) <= 52
 
 
+#: Confidence in a name by what the dictionaries say of it.
+_GIVEN, _SURNAME = 0.85, 0.80
+
+
 def dictionary_person(text: str, a: int, b: int, given, surnames, excluded) -> tuple[int, int, float] | None:
-    """(start, end, confidence) of a candidate that begins with a given name, or has a surname further on."""
-    if behind_postal_code(text, a):
-        return None
+    """(start, end, confidence) of a plain candidate that the dictionaries bear out: its first word is a given name, or a
+    later one a surname; behind a function word, which is not part of it, a surname by itself is enough."""
     lead = _LEADING.match(text, a, b)
-    if lead:
-        a = lead.end()
-    single = lead and _NAME_WORD.fullmatch(text, a, b)
-    end = b if single else refined_end(text, a, b)
-    if end < 0:
+    words = name_words(text, lead.end() if lead else a, b)
+    by_itself = lead is not None and len(words) == 1 and _NAME_WORD.fullmatch(words[0].value) is not None
+    words = words if by_itself else one_field(words)
+    if not words or not (by_itself or _suffices(words, text, False)) or behind_postal_code(text, a):
         return None
-    words = [canonical(w) for w in _BLANKS.split(text[a:end])]
-    raw = _BLANKS.split(text[a:end])
-    if words[0] in excluded:
+    first, later = words[0].form, [w.form for w in words[1:] if w.kind != "p"]
+    if first in excluded:
         return None
-    later = any(w in surnames and w not in excluded and not _PARTICLE.fullmatch(r) for w, r in zip(words[1:], raw[1:]))
-    if words[0] in given:
-        return a, end, 0.85
-    return (a, end, 0.80) if later or (lead and words[0] in surnames) else None
+    borne_out = first in surnames if lead else False
+    borne_out = borne_out or any(w in surnames and w not in excluded for w in later)
+    confidence = _GIVEN if first in given else _SURNAME if borne_out else None
+    return None if confidence is None else (words[0].start, words[-1].end, confidence)
 
 
 def propagated(text: str, seeds: list[tuple[str, str]]) -> list[tuple[int, int, str]]:
@@ -360,8 +376,8 @@ def analyzed(source: str, text: str, starts, ends, first: list[dict], people: li
 
 
 def _described(span, source: str | None = None) -> str:
-    name = "persona" if span["type"] == "PERSON" else LABEL[span["type"]]
-    return name if source is None else f"{name} en línea {source[: span['start']].count(chr(10)) + 1}"
+    name = FINDING_PERSON if span["type"] == "PERSON" else LABEL[span["type"]]
+    return name if source is None else FINDING_LINE.format(name=name, line=source[: span["start"]].count("\n") + 1)
 
 
 def _longest_by_key(spans) -> list:
@@ -372,50 +388,53 @@ def _longest_by_key(spans) -> list:
     return list(out.values())
 
 
-def findings(output: str, accepted, labels: dict[str, str], original=None, rejected=(), source: str = "") -> list[tuple]:
-    """(control, severity, detail, start, end) for everything in an output that speaks against handing it out. Details
-    name kinds and lines, never values."""
-    original, rejected = accepted if original is None else original, set(rejected)
-    found = []
-    if not output.strip():
-        found.append(("C5-SALIDA-NO-VACIA", "BLOCKING", "el Markdown generado esta vacio", None, None))
+def _literal(output, accepted):
+    """C1: values that still stand there."""
     for s in accepted:
-        hits = name_occurrences(output, s["value"]) if s["type"] == "PERSON" else occurrences(output, s["value"])
-        if hits:
-            found.append(("C1-VALOR-LITERAL", "BLOCKING", f"{_described(s)} sigue presente literalmente en la salida", *hits[0]))
-    squashed = canonical(output)
-    for s in accepted:
-        value = canonical(s["value"])
-        if len(value) >= 8 and s["type"] not in ("ORGANIZATION", "TERM", "PERSON") and value in squashed:
-            found.append(("C2-VALOR-REFORMATEADO", "BLOCKING", f"{_described(s, source)} reaparece en la salida con otro formato", None, None))
-    # what a reviewer has let stand hides one mention each
+        if hits := (name_occurrences if s["type"] == "PERSON" else occurrences)(output, s["value"]):
+            yield "C1", _described(s), hits[0]
+
+
+def _reformatted(output, accepted, source):
+    """C2: values that stand there in another form."""
+    values = [(s, canonical(s["value"])) for s in accepted if s["type"] not in ("ORGANIZATION", "TERM", "PERSON")]
+    values = [(s, v) for s, v in values if len(v) >= 8]
+    squashed = canonical(output) if values else ""
+    yield from (("C2", _described(s, source), None) for s, v in values if v in squashed)
+
+
+def _name_parts(output, accepted, original, rejected):
+    """C3: single words of persons, also of those that another span has taken in. What a reviewer has let stand hides one
+    mention each."""
     rest = output
     for s in original:
         if s["type"] == "PERSON" and s["span_id"] in rejected and (hits := occurrences(rest, s["value"])):
             a, b = hits[0]
             rest = rest[:a] + " " * (b - a) + rest[b:]
-    people = {s["span_id"] for s in original if s["type"] == "PERSON"}
+    people, kept = {s["span_id"] for s in original if s["type"] == "PERSON"}, {s["span_id"] for s in accepted}
+    absorbed = [s for s in original if s["type"] == "PERSON" and s["span_id"] not in rejected | kept and any(o["start"] <= s["start"] and s["end"] <= o["end"] for o in accepted)]
+    for s in [*_longest_by_key([s for s in accepted if s["type"] == "PERSON" or s["span_id"] in people]), *absorbed]:
+        for token in significant_tokens(s["value"]):
+            if hits := name_occurrences(rest, token):
+                yield "C3", "", hits[0]
 
-    def name_parts(spans):
-        for s in _longest_by_key(spans):
-            for token in significant_tokens(s["value"]):
-                if hits := name_occurrences(rest, token):
-                    found.append(("C3-TOKENS-DE-NOMBRE", "BLOCKING", "Un fragmento de persona permanece en el resultado; revise sus apariciones", *hits[0]))
 
-    name_parts([s for s in accepted if s["type"] == "PERSON" or s["span_id"] in people])
-    kept = {s["span_id"] for s in accepted}
-    for s in original:
-        if s["type"] == "PERSON" and s["span_id"] not in rejected | kept and any(o["start"] <= s["start"] and o["end"] >= s["end"] for o in accepted):
-            name_parts([s])
+def _uncovered(output, accepted, labels, source):
+    """C4: entities without a label, or whose label is not there."""
     for s in _longest_by_key(accepted):
         name = labels.get(s["entity_key"])
-        if name is None:
-            found.append(("C4-COBERTURA-DE-SUSTITUCION", "BLOCKING", f"{_described(s, source)} no tiene seudonimo asignado", None, None))
-        elif name not in output:
-            found.append(("C4-COBERTURA-DE-SUSTITUCION", "BLOCKING", f"La sustitución de {_described(s, source)} no aparece en la salida", None, None))
-    if not found:
-        found.append(("RESUMEN", "INFO", f"{len(accepted)} sustituciones verificadas sin incidencias", None, None))
-    return found
+        if name is None or name not in output:
+            yield "C4" if name else "C4-NONE", _described(s, source), None
+
+
+def findings(output: str, accepted, labels: dict[str, str], original=None, rejected=(), source: str = "") -> list[tuple]:
+    """(control, severity, detail, start, end) for everything in an output that speaks against handing it out. Details
+    name kinds and lines, never values."""
+    empty = [] if output.strip() else [("C5", "", None)]
+    original, rejected = accepted if original is None else original, set(rejected)
+    found = [*empty, *_literal(output, accepted), *_reformatted(output, accepted, source), *_name_parts(output, accepted, original, rejected), *_uncovered(output, accepted, labels, source)]
+    rows = [(FINDINGS[k][0], "BLOCKING", FINDINGS[k][1].format(what=what), *(at or (None, None))) for k, what, at in found]
+    return rows or [(FINDINGS["OK"][0], "INFO", FINDINGS["OK"][1].format(what=len(accepted)), None, None)]
 
 
 # --- review

@@ -30,12 +30,26 @@ def _base_letters() -> tuple[str, str]:
 BASE_FROM, BASE_TO = _base_letters()
 
 
+#: Characters from here on may change when a text is composed; no earlier one does.
+COMPOSING = "[\\u0300-\\x{10FFFF}]"
+#: Two single capitals side by side, as any heading written letter by letter has them.
+SPACED = "(?<!\\S)\\p{Lu}[^\\S\\n\\t]+\\p{Lu}(?!\\S)"
+#: What some step of normalization may change; all other texts are their own normal form.
+CHANGING = (
+    "\\r|[\\u0085\\u00A0\\u00AD\\u001C-\\u001F]|" + COMPOSING + "|\\p{Ll}-\\n\\p{Ll}|" + SPACED + "|[ \\t]\\n|[ \\t]{2}|\\n{3}|\\A[ \\t\\n\\x0B\\f]|[ \\t\\n\\x0B\\f]\\z"
+)
+
+
 @arrow_udf("string")
-def nfc(text):
-    """Unicode composition; the one text form without a built-in function."""
+def _composed(text):
     return None if text is None else unicodedata.normalize("NFC", text)
 
 
+def nfc(text: Column) -> Column:
+    """Unicode composition; the one text form without a built-in function, so only texts that may need it leave the JVM."""
+    return F.coalesce(_composed(F.when(text.rlike(COMPOSING), text)), text)
+
+
 def unify_line_endings(text: Column) -> Column:
     return F.regexp_replace(text, "\\r\\n|\\r", "\n")
 
@@ -67,8 +81,9 @@ def join_spaced_letters(text: Column) -> Column:
         joined = F.array_join(F.transform(F.split(strip(c), " {2,}", -1), lambda w: F.regexp_replace(w, "\\s+", "")), " ")
         return F.when((singles >= 4) & (singles >= F.size(tokens) * 0.6), joined).otherwise(c)
 
-    lines = F.transform(F.split(text, "\n", -1), lambda line: F.array_join(F.transform(F.split(line, "\t", -1), cell), "\t"))
-    return F.when(text.rlike("(?<!\\S)\\p{Lu}(?!\\S)"), F.array_join(lines, "\n")).otherwise(text)
+    # more than half of a heading's tokens are single letters, so two of them stand side by side
+    lines = F.transform(F.split(text, "\n", -1), lambda line: F.when(line.rlike(SPACED), F.array_join(F.transform(F.split(line, "\t", -1), cell), "\t")).otherwise(line))
+    return F.when(text.rlike(SPACED), F.array_join(lines, "\n")).otherwise(text)
 
 
 def tidy_blanks(text: Column) -> Column:

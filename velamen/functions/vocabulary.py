@@ -68,3 +68,21 @@ Apellidos Número Objeto Asunto Notificación Domicilio Municipio Población Pos
 Empresa Entidad Parte Prueba Vista Otros Otras Segundo Segunda Tercero Tercera Cuarto Cuarta Quinto Quinta DNI
 NIE NIF CIF
 """.split()
+
+# Fixed values. The controls of verification: name and wording of a finding.
+FINDINGS = {
+    "C1": ("C1-VALOR-LITERAL", "{what} sigue presente literalmente en la salida"),
+    "C2": ("C2-VALOR-REFORMATEADO", "{what} reaparece en la salida con otro formato"),
+    "C3": ("C3-TOKENS-DE-NOMBRE", "Un fragmento de persona permanece en el resultado; revise sus apariciones"),
+    "C4-NONE": ("C4-COBERTURA-DE-SUSTITUCION", "{what} no tiene seudonimo asignado"),
+    "C4": ("C4-COBERTURA-DE-SUSTITUCION", "La sustitución de {what} no aparece en la salida"),
+    "C5": ("C5-SALIDA-NO-VACIA", "el Markdown generado esta vacio"),
+    "OK": ("RESUMEN", "{what} sustituciones verificadas sin incidencias"),
+}
+FINDING_PERSON, FINDING_LINE = "persona", "{name} en línea {line}"
+
+# Fixed values. Why an extracted text is not used; the numbers stand before, between or behind the parts.
+GUARD_FEW = ("el documento no tiene capa de texto utilizable (", " caracteres). Comprueba que el PDF o la foto se lea con suficiente nitidez.")
+GUARD_UNMAPPED = "% de caracteres no mapeables: el /ToUnicode del PDF es incorrecto y el texto extraido no es fiable."
+GUARD_LETTERS = ("solo el ", "% del contenido son letras: el texto extraido no parece lenguaje natural.")
+GUARD_USABLE, GUARD_BLANK, GUARD_UNRELIABLE = "texto utilizable", "El documento no contiene texto.", "Extraccion no fiable: "

@@ -25,12 +25,12 @@ LETTER_SUFFIX = r"(?:\s?-?\s?[A-Za-z])?(?![0-9A-Za-z]|[.,]\d)"
 DNI_BODY = r"(?:\d{8}|\d{2}\.\d{3}\.\d{3})"
 NIE_DIGITS = r"(?:\d{7}|\d\.\d{3}\.\d{3})"
 NIE_BODY = r"(?:[XYZ][\s.-]?|[xyz]-?)" + NIE_DIGITS
-CHECKED_NIE_BODY = r"[XYZxyz](?:\s?-?\s?|\.)" + NIE_DIGITS
+VALIDATED_NIE_BODY = r"[XYZxyz](?:\s?-?\s?|\.)" + NIE_DIGITS
 NOT_AN_AMOUNT = r"(?!\s?(?:€|(?i:eur(?:os?)?)(?![A-Za-z])))"
 PARTICLE = r"(?:(?:del|de|das|dos|da|do|las|los|la|el|y|i)(?![\p{L}]))"
 NOT_AFTER_LETTER = r"(?<![\p{L}.])"
 STREET_WORD = r"(?:[A-ZÁÉÍÓÚÜÑ][a-záéíóúüñ]+|[A-ZÁÉÍÓÚÜÑ]{2,}|" + PARTICLE + ")"
-STREET_NUMBER = r"(?:\s*,?\s*(?:n[ºo°]\.?\s*)?\d{1,4}[ºª]?(?:\s*[-,]?\s*\d{1,3}[ºª]?[A-Za-z]?)*)?"
+NUMBER = r"(?:\s*,?\s*(?:n[ºo°]\.?\s*)?\d{1,4}[ºª]?(?:\s*[-,]?\s*\d{1,3}[ºª]?[A-Za-z]?)*)?"
 STREET_TYPE = (
     NOT_AFTER_LETTER + r"(?:Calle|C/|Avenida|Avda\.|Av\.|Plaza|Plza\.|Pza\.|Paseo|Camino"
     r"|Carretera|Ctra\.|Travesía|Travesia|Ronda|Glorieta|Polígono|Poligono"
@@ -40,7 +40,7 @@ STREET_TYPE = (
 
 # Fixed values. The detectors' patterns.
 DNI = r"(?<![0-9A-Za-z])" + DNI_BODY + LETTER_SUFFIX
-NIE = r"(?<![0-9A-Za-z])" + CHECKED_NIE_BODY + LETTER_SUFFIX
+NIE = r"(?<![0-9A-Za-z])" + VALIDATED_NIE_BODY + LETTER_SUFFIX
 PASSPORT = r"(?iu)(?<![\p{L}\p{N}])(?:pasaporte|passport)(?:\s+(?:n\.?\s?[º°o]\.?|n[uú]m(?:ero|\.)?|number|nr\.?))?\s*[:#]?\s*([A-Za-z0-9]{6,9})(?![\p{L}\p{N}])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}\s?[A-Z0-9]{0,4}(?![0-9A-Za-z])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])"
@@ -51,7 +51,7 @@ CODE = r"(?<![0-9])[0-9]{5,}(?![0-9])"
 CUSTOMER = r"(?i:(?:n[uú]mero|n[uú]m\.?|n[.ºo°]{1,2})\s+de\s+(?:cliente|pedido|abonado|p[oó]liza|expediente|contrato|socio))\s*[:.]?\s*([A-Z]{0,3}\d{5,20})(?![\dA-Za-z])"
 POSTAL_MARKED = r"(?:C\.?\s?P\.?|[Cc][oó]digo\s+[Pp]ostal)[\s:]*(\d{5})(?!\d)"
 POSTAL_CITY = r"(?<!\d)(\d{5})(?=\s+(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]{2,}|[A-ZÁÉÍÓÚÑ]{3,}))"
-ADDRESS = STREET_TYPE + r"\s+" + STREET_WORD + r"(?:\s+" + STREET_WORD + "){0,5}" + STREET_NUMBER
+ADDRESS = STREET_TYPE + r"\s+" + STREET_WORD + r"(?:\s+" + STREET_WORD + "){0,5}" + NUMBER
 
 
 def matches(text: Column, pattern: str, group: int = 0, prefix: bool = False, needs: str | None = None) -> Column:

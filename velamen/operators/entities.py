@@ -13,7 +13,7 @@ from ..functions.udfs import arrow_udf
 
 @arrow_udf(SPANS)
 def _mentions(text, spans):
-    out = [s.asDict() for s in spans or []]
+    out = [dict(s) for s in spans or []]
     for p in [s for s in out if s["type"] == "PERSON"]:
         for i, (a, b, key) in enumerate(K.propagated(text, [(p["value"], p["entity_key"])])):
             out.append({"span_id": f"prop-{p['span_id']}-{i}", "type": "PERSON", "start": a, "end": b, "value": text[a:b], "entity_key": key, "provenance": "PROPAGATED", "confidence": 0.70})
@@ -29,7 +29,7 @@ def propagate(text: Column, spans: Column) -> Column:
 @arrow_udf(SPANS)
 def _unified(spans):
     to = K.merged_keys([(s["entity_key"], s["value"]) for s in spans or [] if s["type"] == "PERSON"])
-    return [{**s.asDict(), "entity_key": to.get(s["entity_key"], s["entity_key"])} for s in spans or []]
+    return [{**s, "entity_key": to.get(s["entity_key"], s["entity_key"])} for s in spans or []]
 
 
 def unify(spans: Column) -> Column:

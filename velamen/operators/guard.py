@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.vocabulary import GUARD_BLANK, GUARD_FEW, GUARD_LETTERS, GUARD_UNMAPPED, GUARD_UNRELIABLE, GUARD_USABLE
+
 #: Characters that a usable text has at least; share of unmapped ones and of letters that it has at most and at least.
 LEAST_CHARS, MOST_SUSPICIOUS, LEAST_LETTERS = 40, 0.05, 0.45
 
@@ -16,19 +18,19 @@ def sanity(text: Column) -> Column:
     letters, odd = F.regexp_count(bare, F.lit("\\p{L}")), F.regexp_count(bare, F.lit("[\\uFFFD\\uE000-\\uF8FF\\p{Cc}]"))
     share = lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x / n)
     reason = (
-        F.when(n < LEAST_CHARS, F.concat(F.lit("el documento no tiene capa de texto utilizable ("), n.cast("string"), F.lit(" caracteres). Comprueba que el PDF o la foto se lea con suficiente nitidez.")))
-        .when(share(odd) > MOST_SUSPICIOUS, F.concat(F.format_string("%.1f", share(odd) * 100), F.lit("% de caracteres no mapeables: el /ToUnicode del PDF es incorrecto y el texto extraido no es fiable.")))
-        .when(share(letters) < LEAST_LETTERS, F.concat(F.lit("solo el "), F.format_string("%.1f", share(letters) * 100), F.lit("% del contenido son letras: el texto extraido no parece lenguaje natural.")))
-        .otherwise("texto utilizable")
+        F.when(n < LEAST_CHARS, F.concat(F.lit(GUARD_FEW[0]), n.cast("string"), F.lit(GUARD_FEW[1])))
+        .when(share(odd) > MOST_SUSPICIOUS, F.concat(F.format_string("%.1f", share(odd) * 100), F.lit(GUARD_UNMAPPED)))
+        .when(share(letters) < LEAST_LETTERS, F.concat(F.lit(GUARD_LETTERS[0]), F.format_string("%.1f", share(letters) * 100), F.lit(GUARD_LETTERS[1])))
+        .otherwise(GUARD_USABLE)
     )
-    return F.struct(n.alias("meaningful"), letters.alias("letters"), odd.alias("suspicious"), (reason == "texto utilizable").alias("usable"), reason.alias("reason"))
+    return F.struct(n.alias("meaningful"), letters.alias("letters"), odd.alias("suspicious"), (reason == GUARD_USABLE).alias("usable"), reason.alias("reason"))
 
 
 def rejection(text: Column, native: Column) -> Column:
     """Why a document is not processed; null if it is. Native text only has to hold something."""
     checked = sanity(text)
-    blank = F.when(~F.coalesce(text, F.lit("")).rlike("\\S"), "El documento no contiene texto.")
-    return F.when(native, blank).otherwise(F.when(~checked["usable"], F.concat(F.lit("Extraccion no fiable: "), checked["reason"])))
+    blank = F.when(~F.coalesce(text, F.lit("")).rlike("\\S"), GUARD_BLANK)
+    return F.when(native, blank).otherwise(F.when(~checked["usable"], F.concat(F.lit(GUARD_UNRELIABLE), checked["reason"])))
 
 
 def needs_ocr(has_image: Column, image_coverage: Column, meaningful_chars: Column) -> Column:

@@ -42,6 +42,10 @@ CUES = [("honorific", AFTER_HONORIFIC, False, 0.95), ("document", BEFORE_DOCUMEN
 NEEDS = {"honorific": f"(?iu){HONORIFIC}{CUE_SPACE}", "document": f"(?iu){NOT_AFTER_LETTER}{DOCUMENT_CUE}", "role": f"(?iu){NOT_AFTER_LETTER}{ROLE}{CUE_SPACE}"}
 
 
+#: Columns of candidates().
+CANDIDATES = [*(name for name, _, _, _ in CUES), "plain"]
+
+
 class Gazetteer:
     """Given names, surnames and words that are no names, in canonical form."""
 
@@ -65,9 +69,8 @@ def structural_spans(text: str, found, gazetteer: Gazetteer) -> list[dict]:
     for name, _, _, confidence in CUES:
         for c in found[name] or []:
             a = c["start"]
-            b = K.refined_after_cue(text, a, a + len(c["value"]), name == "honorific", gazetteer.known)
-            if b >= 0:
-                out.append(K.person_span(f"pers-{name}", a, b, text, "STRUCTURAL_CUE", confidence))
+            if at := K.cued_name(text, a, a + len(c["value"]), name == "honorific", gazetteer.known):
+                out.append(K.person_span(f"pers-{name}", *at, text, "STRUCTURAL_CUE", confidence))
     return out
 
 

@@ -11,7 +11,7 @@ from ..functions.udfs import arrow_udf
 
 
 def _plain(spans) -> list[dict]:
-    return [s.asDict() if hasattr(s, "asDict") else dict(s) for s in spans or []]
+    return [dict(s) for s in spans or []]
 
 
 @arrow_udf(SPANS)

@@ -19,7 +19,7 @@ FIELDS = ("control", "severity", "detail", "output_start", "output_end")
 def _report(output, accepted, labels, original, rejected, source):
     names = {x["entity_key"]: x["label"] for x in labels or []}
     found = K.findings(output or "", list(accepted or []), names, None if original is None else list(original), rejected or [], source or "")
-    return {"findings": [dict(zip(FIELDS, f, strict=True)) for f in found], "passed": all(f[1] != "BLOCKING" for f in found), "n": dict(Counter(f[0] for f in found))}
+    return {"findings": [dict(zip(FIELDS, f, strict=True)) for f in found], "passed": all(f[1] != "BLOCKING" for f in found), "n": list(Counter(f[0] for f in found).items())}
 
 
 def verify(output: Column, accepted: Column, labels: Column, original: Column | None = None, rejected: Column | None = None, source: Column | None = None) -> Column:

@@ -102,7 +102,7 @@ _detector("detect_passport_code", "codigo-pasaporte", sql=_spans_sql(PASSPORT_SQ
 _detector("detect_customer_id", "cliente", sql=_spans_sql(r"(?i:(?:n[uú]mero|n[uú]m\.?|n[.ºo°]{1,2})\s+de\s+(?:cliente|pedido|abonado|p[oó]liza|expediente|contrato|socio))\s*[:.]?\s*([A-Z]{0,3}\d{5,20})", right=r"[\dA-Za-z]", kind="CUSTOMER_ID"))
 _detector("detect_postal_code_marked", "cp-marca", sql=_spans_sql(r"(?:C\.?\s?P\.?|[Cc][oó]digo\s+[Pp]ostal)[\s:]*(\d{5})", right=r"\d", accept=POSTAL_OK, kind="POSTAL_CODE"))
 _detector("detect_postal_code", "cp", sql=_spans_sql(r"\d{5}", left="0-9", accept=POSTAL_OK + r" AND regexp_matches(substring(text, CAST(start + length(value) + 1 AS BIGINT)), '^\s+(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]{2,}|[A-ZÁÉÍÓÚÑ]{3,})')", kind="POSTAL_CODE"))
-_detector("detect_address", "direccion", sql=_spans_sql(STREET_TYPE_SQL + r"\s+" + STREET_WORD_SQL + r"(?:\s+" + STREET_WORD_SQL + "){0,5}" + detect.STREET_NUMBER, left=r"\p{L}.", kind="ADDRESS"))
+_detector("detect_address", "direccion", sql=_spans_sql(STREET_TYPE_SQL + r"\s+" + STREET_WORD_SQL + r"(?:\s+" + STREET_WORD_SQL + "){0,5}" + detect.NUMBER, left=r"\p{L}.", kind="ADDRESS"))
 _detector("detect_document_code", "codigo-documento")
 
 
@@ -190,7 +190,7 @@ def normalize_text(spark, sf_dir):
 @query(f"WITH src AS ({SOURCE}) SELECT doc_id, length(norm) AS n_chars, md5(norm) AS digest, true AS in_range FROM (SELECT doc_id, {NORMALIZED_SQL} AS norm FROM src)")
 def normalize_mapped(spark, sf_dir):
     """The form with source ranges has the same text, and ranges that rise and stay within the source."""
-    out = source(spark, sf_dir).withColumn("n", plan.mapped_normalization("text"))
+    out = source(spark, sf_dir).withColumn("n", plan.mapped_normalization(F.col("text")))
     size, starts, ends = F.char_length("n.text"), F.col("n.starts"), F.col("n.ends")
     rising = F.forall(F.transform(starts, lambda s, i: s >= F.coalesce(F.get(starts, i - 1), F.lit(0))), lambda ok: ok)
     fits = (F.size(starts) == size) & (F.size(ends) == size) & rising & ((size == 0) | (F.element_at(ends, -1) <= F.char_length("text")))
