@@ -490,6 +490,65 @@ def test_branches_without_labels(spark):
     assert found == {("a.example", "block", "tree", 20), ("b.example", "allow", "tree", 40), ("c.example", "allow", None, 0)}
 
 
+def brute_tree(rows):
+    """Template, labelled rows and purity of each url, node by node."""
+    paths = [(h, [re.sub("[0-9]+", "#", x) for x in p.split("/") if x], label) for h, p, label in rows]
+    out = [None] * len(rows)
+
+    def below(members, node, level, above):
+        n, b = (sum(paths[i][2] in of for i in members) for of in (("block", "allow"), ("block",)))
+        if above is None:
+            state = (n, b, (b + 2 * 0.5) / (n + 2), n)
+        else:
+            total, bad, purity, rests = above
+            share = (bad + 1e-9) / max(total, 1)
+            gap = b / max(n, 1) - (bad - b) / max(total - n, 1)
+            error = (max(share * (1 - share), 0) * (1 / max(n, 1) + 1 / max(total - n, 1))) ** 0.5
+            apart = n > 0 and total > n and abs(gap) > 1.96 * error
+            state = (n, b, (b + 2 * purity) / (n + 2), n) if apart else (n, b, purity, rests)
+        deeper = [i for i in members if len(paths[i][1]) > level]
+        if len(deeper) < 3:
+            for i in members:
+                out[i] = (node, state[3], state[2])
+            return
+        for i in set(members) - set(deeper):
+            out[i] = (node, state[3], state[2])
+        counts = Counter(paths[i][1][level] for i in deeper)
+        groups = defaultdict(list)
+        for i in deeper:
+            x = paths[i][1][level]
+            if not (counts[x] >= 3 and counts[x] >= 0.02 * len(deeper)):
+                x = re.sub("#+", "#", re.sub(r"[^.#_-]*#[^.]*", "#", x)) if "#" in x else "*"
+            groups[x].append(i)
+        for x, of in groups.items():
+            below(of, f"{node}/{x}", level + 1, state)
+
+    for host in {h for h, _, _ in paths}:
+        below([i for i, (h, _, _) in enumerate(paths) if h == host], host, 0, None)
+    return out
+
+
+def test_tree_against_brute_force(spark):
+    r = random.Random(12)
+    rows = []
+    for _ in range(700):
+        host = r.choice(["a.example", "b.example", "c.example", ""])
+        path = "/".join(["", *(r.choice(["x", "y", "z-1", f"n{r.randint(0, 99)}", f"p{r.randint(0, 9)}-{r.randint(0, 9)}.html", "w" + r.choice("abcdefgh")]) for _ in range(r.randint(0, 9)))])
+        bad = "/x" in path[:4] and r.random() < 0.9 or r.random() < 0.1
+        rows.append((host, path, r.choice([None, "block" if bad else "allow"])))
+    rows += [("deep.example", "/a" * 30 + f"/{i}", "block") for i in range(4)]
+    want = {(h, "/".join(re.sub("[0-9]+", "#", x) for x in p.split("/") if x)): x for (h, p, _), x in zip(rows, brute_tree(rows), strict=True)}
+    got = url_filter.template_tree(spark.createDataFrame(rows, "host string, path string, label string").withColumn("node", F.lit(1)).repartition(3)).collect()
+    assert {(g["host"], g["shape"]): (g["template"], g["labelled"]) for g in got} == {k: v[:2] for k, v in want.items()}
+    assert all(abs(g["purity"] - want[g["host"], g["shape"]][2]) < 1e-9 for g in got)
+
+
+def test_equally_long_rules(spark):
+    df = spark.createDataFrame([(1, "http://b.a/c/d")], "page_id long, url string")
+    for rules in ([("allow", "a", "/c/d"), ("block", "b.a", "/c")], [("block", "b.a", "/c"), ("allow", "a", "/c/d")]):
+        assert url_filter.judged_urls(df, rules).first()["verdict"] == rules[0][0]
+
+
 # --- archives
 
 

@@ -17,6 +17,8 @@ from ..shipping import ship
 
 #: Rows up to which a key set may be broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Tasks that a hot key's rows are dealt out to.
+SALTS = 32
 #: Text bytes that numpy works on at a time.
 CHUNK_BYTES = 1 << 19
 #: Rows of an Arrow batch, so that a batch of long documents stays within a worker's memory.
@@ -72,10 +74,16 @@ def dropped(*tables: DataFrame) -> None:
         files.delete(at, True)
 
 
-def only(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
-    """Join with a key set, a semi join if nothing else is said: broadcast behind a check of its size, else shuffled."""
-    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(keys) if few else keys, on, how)
+def only(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi", spread: str | None = None) -> DataFrame:
+    """Join with a key set, a semi join if nothing else is said: broadcast behind a check of its size, else shuffled.
+    spread: a column of df by which a key's rows are dealt out to SALTS tasks, where keys may be hot."""
+    on = [on] if isinstance(on, str) else on
+    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(keys), on, how)
+    if spread is None:
+        return df.join(keys, on, how)
+    keys = keys.withColumn("_salt", F.explode(F.lit(list(range(SALTS)))))
+    return df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(keys, [*on, "_salt"], how).drop("_salt")
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
