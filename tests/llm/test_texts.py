@@ -231,6 +231,71 @@ def test_accepted(spark):
     assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == set(range(300))
 
 
+def test_accepted_without_labels(spark, nothing):
+    """Nothing to learn from: the corpus stays, but for texts without letters."""
+    rows = [(1, "some words", None), (1, "some words", None), (None, "más", None), (3, "12 34", None), (4, None, None), (5, "", "aa")]
+    left = language_id.accepted(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "1", "None"]
+    assert language_id.accepted(nothing).count() == 0
+
+
+def test_rare_languages_and_repeated_ids(spark):
+    """A language with one text trains on it; an id with many rows is sampled like many ids."""
+    rows = [(lang, text) for _, text, lang in language_rows(60)]
+    kept, held = language_id._parted([*rows, ("zz", "zuk zak")])
+    assert ("zz", "zuk zak") in kept and len(kept) + len(held) == 61 and {lang for lang, _ in held} == {"aa", "bb", "cc"}
+    many = spark.createDataFrame([(1, f"ka lo {'mi ' * (i % 7)} nu {i}", "aa") for i in range(400)] + [(3, "schung traver", "bb")], "doc_id long, text string, lang string")
+    assert [r["lang_pred"] for r in language_id.languages(many, sample=20).where("doc_id = 3").collect()] == ["bb"]
+
+
+def kneser_ney(texts, kinds):
+    """Log probability of the last character of any gram of five, by the book: one language, plain dictionaries."""
+    counts = {5: Counter()}
+    for t in texts:
+        t = "\x01" * 4 + t
+        counts[5].update(t[i - 4 : i + 1] for i in range(4, len(t)))
+    for n in range(4, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discount, total, types = {}, defaultdict(int), defaultdict(int)
+    for n, c in counts.items():
+        once, twice = (sum(v == k for v in c.values()) for k in (1, 2))
+        discount[n] = once / max(once + 2 * twice, 1) if once else 0.5
+        for g, v in c.items():
+            total[g[:-1], n] += v
+            types[g[:-1], n] += 1
+    floor = max(discount[1] * len(counts[1]) / max(1, total["", 1]), 1e-9) / (kinds + 1)
+
+    def p(g):
+        n = len(g)
+        own = max(counts[n][g] - discount[n], 0) / max(total[g[:-1], n], 1)
+        if n == 1:
+            return own + floor
+        back = discount[n] * types[g[:-1], n] / total[g[:-1], n] if total[g[:-1], n] else 1.0
+        return own + back * p(g[1:])
+
+    return p
+
+
+def test_entropies_are_kneser_ney(monkeypatch):
+    """Cross-entropies of texts against a scorer of its own, in slices of a few characters too."""
+    form = lambda t: re.sub(r"[\W\d_]+", " ", t.lower() + " ").lstrip(" ")
+    rows = [(lang, text) for _, text, lang in language_rows(40, seed=3)]
+    model = language_id.train(rows)
+    kept, _ = language_id._parted(rows)
+    kinds = len({c for _, t in kept for c in form(t)})
+    scorers = [kneser_ney([form(t) for lang, t in kept if lang == x], kinds) for x in model.languages]
+    texts = ["ka lo mi", "Schung! 12 traver", "eau que zz ñandú", "x", "ilkasch " * 40, "日本 ka"]
+    for step in (1 << 17, 13):
+        monkeypatch.setattr(language_id, "STEP", step)
+        got, n, _ = model.entropies(texts)
+        for i, t in enumerate(texts):
+            padded = "\x01" * 4 + form(t)
+            assert n[i] == len(padded) - 4
+            for k, p in enumerate(scorers):
+                want = -sum(np.log(p(padded[j - 4 : j + 1])) for j in range(4, len(padded))) / n[i]
+                assert abs(got[i, k] - want) < 1e-3, (t, k)
+
+
 def test_kneser_ney_sums_to_one():
     """The probabilities that follow a context add up to one over all known characters and the unknown one."""
     rows = [(lang, text) for _, text, lang in language_rows(30)]
@@ -587,6 +652,64 @@ def test_records_of_other_shapes():
     assert warc.derivatives(record) == warc.derivatives(record)
 
 
+def test_ids_of_captures(spark):
+    """Pages that share id and address but not their html are captures of their own; equal rows are one."""
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x"), (1, "http://a/", "<p>y"), (1, "http://a/", "<p>y"), (1, None, "<p>y")], "page_id long, url string, html string")
+    rows = warc.derived(warc.responses(pages)).collect()
+    assert len({r["refers_to"] for r in rows}) == 3 and len({r["record_id"] for r in rows}) == 6
+
+
+def test_a_charset_behind_everything():
+    late = b"<html><!--" + b"x" * 9000 + b"--><head><meta name=a><meta http-equiv=x content='text/html; charset=iso-8859-1'></head><p>" + "ñandú".encode("latin-1")
+    record = warc.pack_record([("WARC-Type", "response")], b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + late)
+    assert warc.parse_record(warc.derivatives(record)[1]["record"])[1].decode() == "ñandú"
+
+
+@pytest.mark.parametrize("part", ["<a", "<a ", "<a href", "<script", "<title>", "<!--", "<![", "<meta ", "</td ", "<html lang", "<p <", "&amp"])
+def test_long_broken_pages_take_their_length(part):
+    import time
+
+    began = time.perf_counter()
+    page = part * (2_000_000 // len(part))
+    warc.derivatives(warc.response_record("http://a/", page, "1"))
+    warc.derivatives(warc.response_record("http://a/", page + ">", "1"))
+    assert time.perf_counter() - began < 20
+
+
+def parsed(page):
+    """Text of a page by the library's own parser, without blanks."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        hidden, out = 0, ""
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "noscript", "template", "svg")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "noscript", "template", "svg")
+
+        def handle_data(self, data):
+            self.out += "" if self.hidden else data
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return "".join(reader.out.split())
+
+
+def test_text_of_the_table(spark):
+    from pathlib import Path
+
+    path = Path("/root/testdata/sf0.001/pages.parquet")
+    if not path.exists():
+        pytest.skip("no such table here")
+    pages = spark.read.parquet(str(path))
+    want = {r["page_id"]: parsed(r["html"] or "") for r in pages.collect()}
+    got = {r["page_id"]: "".join(warc.parse_record(bytes(r["record"]))[1].decode().split()) for r in warc.derived(warc.responses(pages)).where("record_type = 'conversion'").collect()}
+    assert got == want
+
+
 def test_empty_archives(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.derived(warc.responses(none)).count() == 0

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batched, mix, tuned
@@ -32,12 +32,16 @@ UNDETERMINED = "und"
 _LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
 
 
+#: Code points of texts that are scored at a time.
+STEP = 1 << 17
+
+
 def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of lower-cased texts, one blank for each run of non-letters, behind ORDER - 1 pads a text; where
     each text begins (n + 1 values); how many letters it has."""
     pad = chr(PAD) * (ORDER - 1)
     low = [pad + x.lower() + " " for x in texts]
-    at = np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int64)
+    at = np.cumsum([0, *map(len, low)])
     cp = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _LETTER[np.minimum(cp, 0xFFFF)]
     high = np.flatnonzero(cp > 0xFFFF)
@@ -46,11 +50,10 @@ def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first other character after a letter is the blank
     keep[pads] = True
-    cp = np.where(letter, cp, 32)
+    cp = np.where(letter, cp, np.uint32(32))
     cp[pads] = PAD
-    total = np.concatenate([[0], np.cumsum(keep)])
-    counts = np.concatenate([[0], np.cumsum(letter)])
-    return cp[keep], total[at], np.diff(counts[at])
+    each = lambda x: np.add.reduceat(x, at[:-1], dtype=np.int64) if len(texts) else at[:-1]
+    return cp[keep], np.concatenate([[0], np.cumsum(each(keep))]), each(letter)
 
 
 def _keys(cp: np.ndarray) -> list[np.ndarray]:
@@ -97,6 +100,18 @@ class Model:
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Mean cross-entropy (texts, languages), scored characters, letters."""
         cp, at, letters = _letters(texts)
+        sums = np.zeros((len(texts), len(self.languages)))
+        for lo in range(0, len(cp), STEP):
+            hi, back = min(len(cp), lo + STEP), max(0, lo - ORDER)
+            score = self._scores(cp[back:hi])[lo - back :]
+            of = np.searchsorted(at, np.arange(lo, hi), "right") - 1 if len(texts) > 1 else np.zeros(hi - lo, np.int64)
+            cut = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            sums[of[cut]] += np.add.reduceat(score, cut, axis=0, dtype=np.float64)
+        n = np.diff(at) - (ORDER - 1)
+        return -sums / np.maximum(n, 1)[:, None], n, letters
+
+    def _scores(self, cp: np.ndarray) -> np.ndarray:
+        """Log probability of each code point behind those before it; pads have none."""
         keys = _keys(cp)
         score = np.zeros((len(cp), len(self.languages)), np.float32)
         todo = np.arange(len(cp))
@@ -110,9 +125,7 @@ class Model:
                 score[todo[row >= 0]] += self.contexts[n - 1].values[row[row >= 0]]
         score[todo] += self.unknown
         score[cp == PAD] = 0
-        sums = np.add.reduceat(score, at[:-1], axis=0, dtype=np.float64) if len(texts) else score[:0]
-        n = np.diff(at) - (ORDER - 1)
-        return -sums / np.maximum(n, 1)[:, None], n, letters
+        return score
 
     def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy and rejection of each text."""
@@ -132,7 +145,7 @@ def train(rows: list[tuple[str, str]]) -> Model:
     """The model of (language, text) rows."""
     languages = sorted({lang for lang, _ in rows})
     size = len(languages)
-    kept = [r for i, r in enumerate(rows) if i % CALIBRATION or len(rows) < 2 * CALIBRATION]
+    kept, aside = _parted(rows)
     cp, at, _ = _letters([text for _, text in kept])
     lang = np.repeat([languages.index(x) for x, _ in kept], np.diff(at))
     keys, real = _keys(cp), cp != PAD
@@ -172,10 +185,21 @@ def train(rows: list[tuple[str, str]]) -> Model:
         lower = p
         grams[n - 1] = SortedHashes(unique[n - 1], np.log(p).astype(np.float32))
     model = Model(languages, grams, contexts, unknown.astype(np.float32))
-    _calibrate(model, [r for i, r in enumerate(rows) if i % CALIBRATION == 0] or rows)
+    _calibrate(model, aside or rows)
     return model
 
 
+def _parted(rows: list[tuple[str, str]]) -> tuple[list, list]:
+    """Rows to train on and rows kept for calibration: of each language every CALIBRATION-th, so that one with fewer
+    trains on all it has."""
+    seen: dict[str, int] = {}
+    parts: tuple[list, list] = ([], [])
+    for lang, text in rows:
+        seen[lang] = seen.get(lang, 0) + 1
+        parts[seen[lang] % CALIBRATION == 0].append((lang, text))
+    return parts
+
+
 def _calibrate(model: Model, rows: list[tuple[str, str]]) -> None:
     """Sharpness of the scores, and mean and spread of each language's cross-entropy, from texts held out."""
     entropy, n, letters = model.entropies([text for _, text in rows])
@@ -205,21 +229,14 @@ def _calibrate(model: Model, rows: list[tuple[str, str]]) -> None:
 
 
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The model of at most `sample` texts a language of docs (doc_id, text, lang), whose crc32(doc_id) mod 4 is not 2."""
-    rank = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    """The model of at most `sample` texts a language of docs (doc_id, text, lang), whose crc32(doc_id) mod 4 is not 2: those
+    of the smallest hashes, however many rows share an id. None where no row can teach anything."""
     rows = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL AND pmod(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)), 4) <> 2")
-    counts = dict(rows.groupBy("lang").count().collect())
-    if not counts:
-        return None
-    # so large a share that it all but surely holds enough; the rest is cut below
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * sample / n + 20.0 / n))])
-    found = rows.withColumn("rank", rank).where(F.col("rank") <= F.element_at(share, F.col("lang")) * float(2**63)).select("lang", "text", "rank", "doc_id").collect()
-    kept: dict[str, list] = {}
-    for r in sorted(found, key=lambda r: (r["rank"], r["doc_id"], r["text"])):
-        of = kept.setdefault(r["lang"], [])
-        if len(of) < sample:
-            of.append((r["lang"], r["text"]))
-    return train([x for lang in sorted(kept) for x in kept[lang]])
+    # each task passes on no more of a language than the sample takes
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("rank"))
+    order = Window.partitionBy("lang").orderBy("rank", "text")
+    found = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample).collect()
+    return train([(r["lang"], r["text"]) for r in sorted(found, key=lambda r: (r["lang"], r["nth"]))]) if found else None
 
 
 def groups(texts: list[str], most: int = 200_000):
@@ -239,7 +256,8 @@ def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     held_out is whether crc32 of doc_id as text, mod 4, is 2 (a null doc_id: false, and no training); only the other
     rows with a lang train. lang_pred is `und` where text is null or has no letter, and where nothing could be learned;
-    score is 0 then and the row counts as rejected. Extra columns are ignored, repeated rows judged each.
+    score is 0 then and the row counts as rejected. Extra columns are ignored, repeated rows judged each, texts of any
+    length scored whole; an empty table has no rows.
     """
     spark = docs.sparkSession
     tuned(spark)
@@ -261,14 +279,15 @@ def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return rows.mapInArrow(batched(run), "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
-
 def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs (doc_id, text, lang, any more) that languages() does not reject, as they are."""
+    """The rows of docs (doc_id, text, lang, any more) that languages() does not reject, as they are. Where no row has a
+    language to learn from, only texts without letters go; null and empty texts have none. Repeated rows are judged each,
+    null ids and languages kept; an empty table stays empty."""
     spark = docs.sparkSession
     tuned(spark)
     model = fitted(docs, sample)
     if model is None:
-        return docs.limit(0)
+        return docs.where(F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):

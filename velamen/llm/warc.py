@@ -14,6 +14,7 @@ import html
 import re
 import uuid
 import zlib
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,14 +26,16 @@ CRLF = b"\r\n"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs, fixed by RFC 9562
 DATE = "1970-01-01T00:00:00Z"
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.IGNORECASE | re.DOTALL)
+#: What nothing closes reaches to the end of the page, so that each of these is read once.
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*(?:>|\Z)", re.IGNORECASE | re.DOTALL)
 _BREAK = re.compile(r"<(?:/?(?:p|div|section|article|header|footer|nav|main|aside|h[1-6]|ul|ol|li|dl|dt|dd|table|thead|tbody|tr|blockquote|pre|form|figure|figcaption|title|body|html|head|address)\b[^>]*|[bh]r\b[^>]*)>", re.IGNORECASE)
-_CELL = re.compile(r"</t[dh]\s*>", re.IGNORECASE)
+_CELL = re.compile(r"</t[dh]\s{0,99}>", re.IGNORECASE)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.IGNORECASE | re.DOTALL)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.IGNORECASE)
-_CHARSET = re.compile(rb"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.IGNORECASE)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^>]*>", re.IGNORECASE), re.compile(r"</title\b", re.IGNORECASE)
+_HTML, _ANCHOR, _META = (re.compile(rf"<{x}\b[^>]*>", re.IGNORECASE) for x in ("html", "a", "meta"))
+_LANG = re.compile(r"\blang\s{0,99}=\s{0,99}[\"']?([A-Za-z0-9-]+)", re.IGNORECASE)
+_CHARSET = re.compile(r"\bcharset\s{0,99}=\s{0,99}[\"']?([A-Za-z0-9_.:-]+)", re.IGNORECASE)
+_HREF = re.compile(r"\bhref\s{0,99}=\s{0,99}(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _SPACES = re.compile(r"[ \t\f\v\xa0]+")
 
 
@@ -116,9 +119,32 @@ def decoded(headers: list[tuple[str, str]], payload: bytes) -> bytes:
     return payload
 
 
+def _sub(pattern: re.Pattern, new: str, page: str) -> str:
+    """pattern replaced where a tag can still close: what stands behind the last `>` is no tag, and looking for its end
+    from every `<` would take the square of its length."""
+    at = page.rfind(">") + 1
+    return pattern.sub(new, page[:at]) + page[at:]
+
+
+def _tags(pattern: re.Pattern, page: str):
+    """All tags of a kind, each read once."""
+    return (m.group() for m in pattern.finditer(page, 0, page.rfind(">") + 1))
+
+
+def _declared(body: bytes) -> str | None:
+    """The charset that a page's first <meta> with one names, wherever it stands."""
+    return next((m[1] for tag in _tags(_META, body.decode("latin-1")) if (m := _CHARSET.search(tag))), None)
+
+
+def _title(page: str) -> str | None:
+    begin = _TITLE.search(page, 0, page.rfind(">") + 1)
+    end = begin and _TITLE_END.search(page, begin.end())
+    return page[begin.end() : end.start()] if end else None
+
+
 def plain_text(page: str) -> str:
     """What a reader sees: no scripts, styles, comments or tags; one line a block, entities resolved, blanks folded."""
-    page = _TAG.sub("", _CELL.sub("\t", _BREAK.sub("\n", _DROP.sub(" ", page))))
+    page = _sub(_TAG, "", _sub(_CELL, "\t", _sub(_BREAK, "\n", _DROP.sub(" ", page))))
     lines = (_SPACES.sub(" ", x).strip() for x in html.unescape(page).replace("\r", "\n").split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -127,7 +153,8 @@ def response_record(url: str | None, page: str | None, name: str, date: str = DA
     """A response record of a page's url and html, as an archive would hold it."""
     payload = (page or "").encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
-    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", name, url or "")), ("WARC-Date", date)]
+    # rows alike in all three are the same capture
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", name, url or "", digest(payload))), ("WARC-Date", date)]
     headers += [("WARC-Target-URI", url)] if url else []
     headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block))]
     return pack_record(headers, block)
@@ -154,16 +181,16 @@ def derivatives(record: bytes) -> list[dict]:
     media = kind.split(";")[0].strip().lower()
     is_html, is_text = media in ("text/html", "application/xhtml+xml"), media.startswith("text/") or media == "application/xhtml+xml"
     charset = re.search(r"charset\s*=\s*[\"']?([^\s\"';]+)", kind, re.IGNORECASE)
-    found = charset[1] if charset else (m[1].decode() if is_html and (m := _CHARSET.search(body[:4096])) else "utf-8")
+    found = charset[1] if charset else (_declared(body) if is_html else None) or "utf-8"
     try:
         page = body.decode(found, "replace")
     except LookupError:
         found, page = "utf-8", body.decode("utf-8", "replace")
     fields = [("http-status", str(status or "")), ("content-type", kind), ("charset", found.lower()), ("source-payload-digest", payload_digest), ("source-block-digest", block_digest), ("source-length", str(len(payload)))]
     if is_html:
-        fields += [("title", _SPACES.sub(" ", html.unescape(m[1])).strip())] if (m := _TITLE.search(page)) else []
-        fields += [("lang", m[1])] if (m := _LANG.search(page)) else []
-        fields += [("outlink", html.unescape(next(x for x in m.groups("") if x) if any(m.groups("")) else "")) for m in _LINK.finditer(page)]
+        fields += [("title", _SPACES.sub(" ", html.unescape(title)).strip())] if (title := _title(page)) is not None else []
+        fields += [("lang", m[1]) for tag in islice(_tags(_HTML, page), 1) if (m := _LANG.search(tag))]
+        fields += [("outlink", html.unescape(next((x for x in m.groups("") if x), ""))) for tag in _tags(_ANCHOR, page) if (m := _HREF.search(tag))]
     fields += [("source-header", f"{k}: {v}") for k, v in http]
     linked = [("WARC-Date", of.get("warc-date", DATE)), ("WARC-Refers-To", source)]
     if uri := of.get("warc-target-uri"):
@@ -187,7 +214,8 @@ DDL = "page_id long, record_type string, record_id string, refers_to string, con
 
 def derived(responses: DataFrame) -> DataFrame:
     """The derivative records of each row of responses (page_id, record: bytes of one response record); see
-    derivatives(). Null records give none; repeated rows give repeated records; other columns are ignored."""
+    derivatives(). Null records give none; repeated rows give repeated records; other columns are ignored; an empty table
+    has no records."""
     tuned(responses.sparkSession)
 
     def run(batches):
@@ -200,7 +228,7 @@ def derived(responses: DataFrame) -> DataFrame:
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """page_id, record: a response record of each row of pages (page_id, url, html). Null html is an empty page; a null
-    url leaves the target out."""
+    url leaves the target out; rows that differ in any of the three have ids of their own."""
     tuned(pages.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("record", pa.binary())])
 
