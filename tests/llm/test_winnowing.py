@@ -76,12 +76,14 @@ def test_segments_meet(spark, monkeypatch):
     assert got == sorted(expected(rows))
 
 
-def test_a_text_of_twenty_million_characters(spark):
-    """Beyond any bound of positions; its last gram is the same one as elsewhere."""
-    n = 20_000_000
-    df = spark.range(3).selectExpr("id AS doc_id", f"CASE WHEN id = 1 THEN concat(repeat('0123456789 ', {n // 11}), 'an end of forty-three characters and a few more') ELSE 'an end of forty-three characters and a few more' END AS text")
-    rows = {r["doc_id"]: r for r in winnowing.winnowed(df).select("doc_id", "n_chars", F.substring("fingerprint", -10, 10).alias("end"), F.element_at("positions", -1).alias("at"), "near_edited").collect()}
-    assert rows[1]["n_chars"] > 19_999_000 and rows[1]["end"] == rows[0]["end"] and rows[1]["at"] > n - 100 and rows[0]["at"] < 50
+def test_a_text_of_seventeen_million_characters(spark):
+    """More than 24 bits of positions; its last gram is the same one as elsewhere."""
+    n = 17_000_000
+    end = "an end of forty-three characters and a few more"
+    df = spark.range(2).selectExpr("id AS doc_id", f"CASE WHEN id = 1 THEN concat(repeat('0123456789 ', {n // 11}), '{end}') ELSE '{end}' END AS text")
+    kept = winnowing._with_kept(df, "text", "kept").select("doc_id", F.element_at("kept", -1).alias("hash"), F.element_at("kept_at", -1).alias("at"), F.size("kept").alias("n"))
+    rows = {r["doc_id"]: r for r in kept.collect()}
+    assert rows[1]["hash"] == rows[0]["hash"] and rows[1]["at"] == rows[0]["at"] + n // 11 * 11 > 2**24 and rows[1]["n"] > n / 40
 
 
 def test_nothing_nulls_and_repeats(spark, nothing):

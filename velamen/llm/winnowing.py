@@ -21,7 +21,7 @@ K, WINDOW = 12, 32
 #: Characters beyond a window's first that belong to it, less one.
 REACH = K + WINDOW - 2
 #: Windows of a segment; low bits of a value that hold the place in it, counted down so that the smallest is the rightmost.
-SEGMENT, PLACE_BITS = 1 << 16, 24
+SEGMENT, PLACE_BITS = 1 << 18, 24
 PLACES = (1 << PLACE_BITS) - 1
 #: Characters of a range of documents, about; ranges at most (larger ones beyond 2 TB); ranges that are cut by counting.
 RANGE_CHARS, RANGES_MOST, COARSE = 2_000_000, 1 << 20, 256
@@ -32,39 +32,67 @@ def _let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def _minima(piece: Column) -> Column:
-    """The different minima, in order, of the windows of one segment, as (hash, counted-down place) in one long."""
+def _grams(piece: Column) -> Column:
+    """(hash, counted-down place) of each gram, in one long."""
     grams = F.when(F.char_length(piece) >= K, F.regexp_extract_all(piece, F.lit(f"(?s)(?=(.{{{K}}}))."), 1)).when(F.char_length(piece) > 0, F.array(piece)).otherwise(F.array().cast("array<string>"))
-    values = F.transform(grams, lambda g, i: F.xxhash64(g).bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES) - i))
+    return F.transform(grams, lambda g, i: F.xxhash64(g).bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES) - i))
+
+
+def _wider(values: Column, step: int) -> Column:
+    """The smaller of each value and the one `step` behind it; values that run over the end only hold what is left."""
+    return F.zip_with(values, F.slice(values, F.lit(step + 1), F.greatest(F.size(values), F.lit(0))), lambda x, y: F.least(x, y))
+
+
+def _steps() -> list[int]:
+    out, span = [], 1
+    while span < WINDOW:
+        out.append(min(span, WINDOW - span))
+        span += out[-1]
+    return out
+
 
-    def wider(values: Column, span: int) -> Column:
-        if span == WINDOW:  # windows that run over the end only hold what is left; all but the first of a short text go
-            return F.array_distinct(F.slice(values, F.lit(1), F.when(F.size(values) > WINDOW, F.size(values) - (WINDOW - 1)).otherwise(1)))
-        step = min(span, WINDOW - span)
-        both = F.zip_with(values, F.slice(values, F.lit(step + 1), F.greatest(F.size(values), F.lit(0))), lambda x, y: F.least(x, y))
-        return _let(both, lambda v: wider(v, span + step))
+def _different(values: Column) -> Column:
+    """The different minima of whole windows, in order; a short text's only window is the first."""
+    return F.array_distinct(F.slice(values, F.lit(1), F.when(F.size(values) > WINDOW, F.size(values) - (WINDOW - 1)).otherwise(1)))
 
-    return _let(values, lambda v: wider(v, 1))
+
+def _minima(piece: Column) -> Column:
+    """_different() of one segment, as one expression."""
+
+    def walk(values: Column, steps: list[int]) -> Column:
+        return _let(_wider(values, steps[0]), lambda v: walk(v, steps[1:])) if steps else _different(values)
+
+    return _let(piece, lambda p: _let(_grams(p), lambda v: walk(v, _steps())))
 
 
 def _with_kept(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the arrays `out` (40-bit hashes of the kept grams) and `out`_at (their positions)."""
+    """df with the arrays `out` (40-bit hashes of the kept grams) and `out`_at (their positions).
+
+    A text of one segment is read column by column, which compiles to faster code; longer ones segment by segment within
+    one expression, so that only what is kept of a segment stays.
+    """
     length = F.char_length(text)
+    long = length > SEGMENT + REACH
+    df = df.withColumn("_one", _grams(F.when(long, F.lit("")).otherwise(F.col(text))))
+    for step in _steps():
+        df = df.withColumn("_one", _wider(F.col("_one"), step))
+    df = df.withColumn("_one", _different(F.col("_one")))
     segments = F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(length - (REACH + 1), F.lit(0)) / SEGMENT).cast("long"))
     piece = lambda s: F.substring(F.col(text), (s * SEGMENT + 1).cast("int"), F.lit(SEGMENT + REACH))
     place_of = lambda v, s: s * SEGMENT + (F.lit(PLACES) - v.bitwiseAND(F.lit(PLACES)))
-    df = df.withColumn("_parts", F.when(length <= SEGMENT + REACH, F.array(_minima(F.col(text)))).otherwise(F.transform(segments, lambda s: _minima(piece(s)))))
+    df = df.withColumn("_parts", F.when(long, F.transform(segments, lambda s: _minima(piece(s)))))
     # a gram that two segments keep is the last of one and the first of the next
     again = lambda p, s: (s > 0) & (place_of(F.get(p, F.lit(0)), s) == place_of(F.element_at(F.get(F.col("_parts"), s - 1), -1), s - 1))
-    once = F.transform("_parts", lambda p, s: F.when(again(p, s), F.slice(p, F.lit(2), F.size(p))).otherwise(p))
-    df = df.withColumn("_parts", F.when(F.size("_parts") > 1, once).otherwise(F.col("_parts")))
-    df = df.withColumn(out, F.flatten(F.transform("_parts", lambda p: F.transform(p, lambda v: F.shiftright(v, PLACE_BITS)))))
-    return df.withColumn(f"{out}_at", F.flatten(F.transform("_parts", lambda p, s: F.transform(p, lambda v: place_of(v, s.cast("long")))))).drop("_parts")
+    df = df.withColumn("_parts", F.when(long, F.transform("_parts", lambda p, s: F.when(again(p, s), F.slice(p, F.lit(2), F.size(p))).otherwise(p))))
+    hashes = lambda p: F.transform(p, lambda v: F.shiftright(v, PLACE_BITS))
+    df = df.withColumn(out, F.when(long, F.flatten(F.transform("_parts", hashes))).otherwise(hashes(F.col("_one"))))
+    places = F.when(long, F.flatten(F.transform("_parts", lambda p, s: F.transform(p, lambda v: place_of(v, s.cast("long"))))))
+    return df.withColumn(f"{out}_at", places.otherwise(F.transform("_one", lambda v: F.lit(PLACES) - v.bitwiseAND(F.lit(PLACES))))).drop("_parts", "_one")
 
 
 def _print(kept: Column) -> Column:
     """Ten hexadecimal digits for each kept hash, in the order of the text."""
-    return F.concat_ws("", F.transform(kept, lambda v: F.lower(F.lpad(F.hex(v.bitwiseAND(F.lit((1 << 40) - 1))), 10, "0"))))
+    return F.lower(F.concat_ws("", F.transform(kept, lambda v: F.substring(F.hex(v.bitwiseAND(F.lit((1 << 40) - 1)).bitwiseOR(F.lit(1 << 40))), 2, 10))))
 
 
 def _likeness(a: Column, b: Column) -> Column:
@@ -135,8 +163,11 @@ def winnowed(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("keep")), "donor"))
     # windows that lie within the kept characters are those of the text: so many, and so many grams that they keep
     rows = rows.withColumn("cut", F.greatest(F.col("keep") - REACH, F.lit(0)))
-    came = lambda h, i: F.when(i == 0, F.lit(0)).when(h <= F.get("kept", i - 1), F.get("kept_at", i) - (WINDOW - 1)).otherwise(F.get("kept_at", i - 1) + 1)
-    rows = rows.withColumn("same", F.size(F.filter("kept", lambda h, i: came(h, i) < F.col("cut"))))
+    # the gram of place i came with the window in which it entered as the smallest, or behind the one that left before it
+    came = lambda i: F.when(i == 0, F.lit(0)).when(F.get("kept", i) <= F.get("kept", i - 1), F.get("kept_at", i) - (WINDOW - 1)).otherwise(F.get("kept_at", i - 1) + 1)
+    rows = rows.withColumn("before", F.size(F.filter("kept_at", lambda p: p < F.col("cut"))))
+    near = F.sequence(F.col("before"), F.least(F.col("before") + WINDOW, F.size("kept")))
+    rows = rows.withColumn("same", F.col("before") + F.size(F.filter(near, lambda i: (i < F.size("kept")) & (came(i) < F.col("cut")))))
     rows = rows.withColumn("rest", F.when((F.col("cut") > 0) & (F.col("donor") == ""), F.lit("")).otherwise(F.substring("edited", F.col("cut") + 1, F.length("edited"))))
     rows = _with_kept(rows, "rest", "tail")
     twice = (F.col("same") > 0) & (F.get("tail_at", F.lit(0)) + F.col("cut") == F.get("kept_at", F.col("same") - 1))
