@@ -153,9 +153,9 @@ def winnowed(docs: DataFrame) -> DataFrame:
     range. Other columns are ignored; an empty table has no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = _with_kept(_neighbours(docs), "text", "kept").withColumn("set", F.array_distinct("kept"))
+    rows = _with_kept(_neighbours(docs), "text", "kept")
     order = Window.partitionBy(*Pieces.NAME).orderBy("round", "key", "sub", ~F.col("own"))
-    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_set", F.lead("set").over(order)).where("own")
+    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_kept", F.lead("kept").over(order)).where("own").withColumn("set", F.array_distinct("kept"))
 
     length = F.char_length("text")
     rows = rows.withColumn("n_chars", length.cast("long")).withColumn("keep", length - F.floor(length / 4).cast("int"))
@@ -180,6 +180,6 @@ def winnowed(docs: DataFrame) -> DataFrame:
         _print(F.col("kept")).alias("fingerprint"),
         _print(F.col("edited_kept")).alias("edited_fingerprint"),
         _likeness(F.col("set"), F.col("edited_set")).alias("near_edited"),
-        _likeness(F.col("set"), F.col("next_set")).alias("near_next"),
+        _likeness(F.col("set"), F.array_distinct("next_kept")).alias("near_next"),
         F.col("kept_at").alias("positions"),
     )
