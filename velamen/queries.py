@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import validators as V
+from .functions.vocabulary import NAME_PARTICLES
 from .operators import detect, entities, guard, headers, persons, report, review, spans, verify
 from .plans import deidentify as plan
+from .sources import files, sinks
 
 FIXTURES = [
     (-1, "Documento: DNI 12345678Z; NIE X1234567L; IBAN ES9121000418450200051332; Email juan.perez@example.com; Número de cliente: ABC12345; Matrícula:1234 BCD; Teléfono:612345678; Dirección:Calle Mayor15; Código postal:28013; D. Juan Perez Lopez"),
@@ -217,21 +219,30 @@ def fold_text(spark, sf_dir):
 _FOLDED_SQL = f"translate(lower(text), '{X.FOLD_FROM}', '{X.FOLD_TO}')"
 
 
-@query(f"WITH src AS ({SOURCE}) SELECT doc_id, len(regexp_extract_all({_FOLDED_SQL}, '\\bde la\\b')) AS n FROM src WHERE regexp_matches({_FOLDED_SQL}, '\\bde la\\b') AND NOT regexp_matches({_FOLDED_SQL}, '[^\\x00-\\x7F]')")
+@query(f"WITH src AS ({SOURCE}), d AS (SELECT doc_id, regexp_replace({_FOLDED_SQL}, '([^\\p{{L}}\\p{{Nd}}])', '\\1\\1', 'g') AS twice FROM src) SELECT doc_id, len(regexp_extract_all(twice, '(?:^|[^\\p{{L}}\\p{{Nd}}])de[ \\n\\t]+la(?:$|[^\\p{{L}}\\p{{Nd}}])')) AS n FROM d")
 def whole_word_search(spark, sf_dir):
-    """How often two words stand together; of texts that folding leaves in ASCII, as SQL's word boundaries are."""
-    text = F.col("text")
-    found = source(spark, sf_dir).where(~X.fold(text).rlike("[^\\x00-\\x7F]") & X.fold(text).rlike("\\bde la\\b"))
-    return found.select("doc_id", F.regexp_count(X.fold(text), F.lit("(?<![\\p{L}\\p{Nd}_])de la(?![\\p{L}\\p{Nd}_])")).cast("long").alias("n"))
+    """How often two words stand together in each text. SQL has no look-around, so it doubles what is no letter or digit:
+    then each word has borders of its own."""
+    return source(spark, sf_dir).select("doc_id", X.whole_word_count(F.col("text"), "de la").cast("long").alias("n"))
 
 
-_HEAD_SQL = "regexp_extract(text, '^\\S+(?:\\s+\\S+){0,3}')"
+#: What is written like a name of two words or more, wherever it stands.
+NAMES = r"\p{Lu}\p{Ll}+(?: (?:de |del |la |y )?\p{Lu}\p{Ll}+){1,3}"
+_BARE_SQL = "lower(regexp_replace(strip_accents(w), '[^\\p{L}\\p{Nd}]', '', 'g'))"
+_PARTICLES_SQL = "['" + "','".join(NAME_PARTICLES) + "']"
+_WORDS_SQL = f"list_filter(string_split(name, ' '), lambda w: length({_BARE_SQL}) >= 2 AND NOT list_contains({_PARTICLES_SQL}, {_BARE_SQL}))"
+_NAMES_SQL = f"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{NAMES}')) AS name FROM src"
 
 
-@query(f"WITH src AS ({SOURCE}) SELECT doc_id, array_to_string(list_filter(list_distinct(regexp_split_to_array(name, '\\s+')), lambda w: false), '') AS none, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(name, '\\s+'), lambda w: length(regexp_replace(strip_accents(w), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) >= 2 AND NOT list_contains(['" + "','".join(["de", "del", "la", "las", "los", "el", "y", "e", "da", "do", "dos", "van", "von", "san", "santa", "don", "dona", "sr", "sra", "srta", "sres"]) + f"'], lower(regexp_replace(strip_accents(w), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')))))), '|') AS tokens, CASE WHEN len(regexp_split_to_array(name, '\\s+')) >= 3 THEN array_to_string(regexp_split_to_array(name, '\\s+')[2:], ' ') END AS surnames FROM (SELECT doc_id, {_HEAD_SQL} AS name FROM src) WHERE name <> ''")
+def _names(spark, sf_dir) -> DataFrame:
+    """Each document's different names, from its whole text."""
+    found = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(NAMES), 0))
+    return source(spark, sf_dir).select("doc_id", F.explode(found).alias("name"))
+
+
+@query(f"WITH src AS ({SOURCE}), n AS ({_NAMES_SQL}) SELECT doc_id, name, array_to_string(list_sort(list_distinct({_WORDS_SQL})), '|') AS tokens, CASE WHEN len(string_split(name, ' ')) >= 3 THEN array_to_string(string_split(name, ' ')[2:], ' ') END AS surnames FROM n")
 def name_tokens(spark, sf_dir):
-    named = source(spark, sf_dir).select("doc_id", F.regexp_extract("text", "\\A\\S+(?:\\s+\\S+){0,3}", 0).alias("name")).where("name <> ''")
-    return named.select("doc_id", F.lit("").alias("none"), F.array_join(F.array_sort(X.significant_tokens(F.col("name"))), "|").alias("tokens"), X.surname_group(F.col("name")).alias("surnames"))
+    return _names(spark, sf_dir).select("doc_id", "name", F.array_join(F.array_sort(X.significant_tokens(F.col("name"))), "|").alias("tokens"), X.surname_group(F.col("name")).alias("surnames"))
 
 
 @query("SELECT page_id, url, lower(regexp_extract(url, '(\\.[^.]*)$', 1)) AS extension, coalesce(nullif(regexp_extract(lower(url), '(\\.[a-z0-9]{1,10})$', 1), ''), '.bin') AS suffix FROM pages")
@@ -266,13 +277,13 @@ _KEY_SQL = "trim(lower(regexp_replace(strip_accents(regexp_replace(regexp_replac
     p AS (SELECT doc_id, line, i // {PAGE_LINES} + 1 AS page_no, i % {PAGE_LINES} AS line_no, least({PAGE_LINES}, n_lines - (i // {PAGE_LINES}) * {PAGE_LINES}) AS n, (n_lines + {PAGE_LINES - 1}) // {PAGE_LINES} AS n_pages FROM e),
     k AS (SELECT *, {_KEY_SQL} AS key FROM p WHERE line_no < 3 OR line_no >= n - 3),
     r AS (SELECT doc_id, key FROM k WHERE length(key) >= 3 GROUP BY doc_id, key, n_pages HAVING n_pages >= 3 AND count(DISTINCT page_no) >= greatest(2, ceil(n_pages * 0.5)))
-    SELECT p.doc_id, p.page_no, CAST(any_value(p.n) AS BIGINT) - count(r.key) AS n_left, count(r.key) AS n_removed FROM p LEFT JOIN k ON k.doc_id = p.doc_id AND k.page_no = p.page_no AND k.line_no = p.line_no LEFT JOIN r ON r.doc_id = k.doc_id AND r.key = k.key GROUP BY p.doc_id, p.page_no"""
+    SELECT p.doc_id, p.page_no, CAST(any_value(p.n) AS BIGINT) - count(r.key) AS n_left, count(r.key) AS n_removed, md5(coalesce(string_agg(p.line, chr(10) ORDER BY p.line_no) FILTER (r.key IS NULL), '')) AS digest FROM p LEFT JOIN k ON k.doc_id = p.doc_id AND k.page_no = p.page_no AND k.line_no = p.line_no LEFT JOIN r ON r.doc_id = k.doc_id AND r.key = k.key GROUP BY p.doc_id, p.page_no"""
 )
 def strip_headers_footers(spark, sf_dir):
     """Of documents cut into pages of a few lines, which is what the table has instead of pages."""
     pages = headers.paginated(table(spark, sf_dir, "documents"), PAGE_LINES)
     out = headers.strip_headers_footers(pages)
-    return out.select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.size("lines").cast("long").alias("n_left"), F.col("removed_lines").cast("long").alias("n_removed"))
+    return out.select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.size("lines").cast("long").alias("n_left"), F.col("removed_lines").cast("long").alias("n_removed"), F.md5(F.encode(F.array_join("lines", "\n"), "UTF-8")).alias("digest"))
 
 
 # --- span algebra, over e-mails, phones and codes
@@ -372,22 +383,24 @@ def verify_name_tokens(spark, sf_dir):
 
 # --- entities
 
-_NAMES_SQL = "SELECT doc_id, k AS entity_key, array_to_string(w[a:b], ' ') AS value FROM (SELECT doc_id, regexp_split_to_array(trim(coalesce(text, '')), '\\s+') AS w FROM documents), (VALUES ('a', 1, 3), ('b', 1, 2), ('c', 3, 4), ('d', 3, 3)) v(k, a, b) WHERE len(w) >= 4"
-_WORD_SQL = "list_distinct(list_transform(list_filter(regexp_split_to_array(value, '\\s+'), lambda w: length(regexp_replace(strip_accents(w), '[^\\p{L}\\p{Nd}]', '', 'g')) >= 2 AND NOT list_contains(['de','del','la','las','los','el','y','e','da','do','dos','van','von','san','santa','don','dona','sr','sra','srta','sres'], lower(regexp_replace(strip_accents(w), '[^\\p{L}\\p{Nd}]', '', 'g')))), lambda w: lower(regexp_replace(strip_accents(w), '[^\\p{L}\\p{Nd}]', '', 'g'))))"
-
-
 @query(
-    f"""WITH n AS ({_NAMES_SQL}), t AS (SELECT doc_id, entity_key, {_WORD_SQL} AS words FROM n),
+    f"""WITH src AS ({SOURCE}), n AS ({_NAMES_SQL}), t AS (SELECT doc_id, name AS entity_key, list_distinct(list_transform({_WORDS_SQL}, lambda w: {_BARE_SQL})) AS words FROM n),
     u AS (SELECT a.doc_id, a.entity_key, b.entity_key AS above FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.entity_key <> b.entity_key AND len(a.words) > 0 AND len(b.words) > len(a.words) AND list_has_all(b.words, a.words))
     SELECT doc_id, entity_key, min(above) AS merged_into FROM u GROUP BY ALL HAVING count(*) = 1"""
 )
 def resolve_persons(spark, sf_dir):
-    """Names made of each document's first words: which is a shorter form of exactly one other."""
-    words = F.split(X.strip(F.coalesce("text", F.lit(""))), "\\s+", -1)
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where(F.size("w") >= 4)
-    cut = lambda k, a, n: F.struct(F.lit(k).alias("entity_key"), F.array_join(F.slice("w", a, n), " ").alias("value"))
-    names = docs.select("doc_id", F.explode(F.array(cut("a", 1, 3), cut("b", 1, 2), cut("c", 3, 2), cut("d", 3, 1))).alias("x")).select("doc_id", "x.*")
-    return entities.unique_supersets(names)
+    """Which of a document's names is a shorter form of exactly one other."""
+    return entities.unique_supersets(_names(spark, sf_dir).select("doc_id", F.col("name").alias("entity_key"), F.col("name").alias("value")))
+
+
+@query()
+def unify_persons(spark, sf_dir):
+    """The same names as spans that whole runs unify, chains of shorter forms followed to their end."""
+    none = F.lit(None)
+    span = lambda n, i: F.struct(i.cast("string").alias("span_id"), F.lit("PERSON").alias("type"), i.cast("int").alias("start"), (i + 1).cast("int").alias("end"), n.alias("value"), n.alias("entity_key"), F.lit("GAZETTEER").alias("provenance"), none.cast("double").alias("confidence"))
+    found = F.transform(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(NAMES), 0)), span)
+    rows = source(spark, sf_dir).withColumn("s", found).where(F.size("s") > 0).withColumn("s", entities.unify(F.col("s")))
+    return rows.select("doc_id", F.explode("s").alias("s")).select("doc_id", F.col("s.value").alias("name"), F.col("s.entity_key").alias("person"))
 
 
 @query()
@@ -449,9 +462,53 @@ def replay_review(spark, sf_dir):
     out = _accepted(spark, sf_dir).where(F.size("accepted") > 0)
     log = F.concat(F.lit("review-v1\nreject\t"), F.col("accepted")[0]["span_id"], F.lit("\ttrue"))
     kept = review.replay_review(F.col("text"), F.col("accepted"), log)
-    own = F.transform("accepted", lambda s: s["span_id"])
-    # places that detectors did not name are left out of the comparison
-    return out.select("doc_id", F.explode(F.filter(kept["effective"], lambda s: F.array_contains(own, s["span_id"]))).alias("s")).select("doc_id", "s.start", "s.type")
+    return out.select("doc_id", F.explode(kept["effective"]).alias("s")).select("doc_id", "s.start", "s.type")
+
+
+@query()
+def review_edits(spark, sf_dir):
+    """A log of all kinds of edits: the first span becomes a term and is cut by one character, the last entity is
+    rejected, and a word is added by hand where it stands; logs that can't be applied say why."""
+    out = _accepted(spark, sf_dir).where(F.size("accepted") > 0)
+    first, last = F.col("accepted")[0], F.element_at("accepted", -1)
+    word = F.regexp_extract("text", "(?<![\\p{L}\\p{Nd}])([a-z]{6,})(?![\\p{L}\\p{Nd}])", 1)
+    shorter = F.substring(first["value"], F.lit(1), F.char_length(first["value"]) - 1)
+    lines = [F.concat(F.lit("type\t"), first["span_id"], F.lit("\tTERMINO")), F.concat(F.lit("text\t"), first["span_id"], F.lit("\t"), F.url_encode(shorter)), F.concat(F.lit("reject\t"), last["span_id"], F.lit("\ttrue")), F.when(word != "", F.concat(F.lit("add\tmanual:1\t"), word))]
+    done = review.replay_review(F.col("text"), F.col("accepted"), F.concat(F.lit("review-v1\n"), F.concat_ws("\n", *lines)))
+    out = out.select("doc_id", done.alias("r")).select("doc_id", "r.error", F.explode_outer("r.effective").alias("s"))
+    return out.select("doc_id", "error", "s.span_id", "s.type", "s.start", "s.end", "s.value", "s.provenance")
+
+
+@query()
+def arbitrate_all_detectors(spark, sf_dir):
+    """The spans of every detector that needs no dictionary, before persons, arbitrated against each other."""
+    every = [*detect.DETERMINISTIC, *detect.CONTEXTUAL, *detect.organizations(), *detect.terms(["General Public License"])]
+    found = source(spark, sf_dir).select("doc_id", F.explode(spans.arbitrate(detect.all_spans(F.col("text"), every))).alias("s"))
+    return found.select("doc_id", "s.type", "s.start", "s.end", "s.value", "s.entity_key")
+
+
+# --- files
+
+
+@query(f"WITH src AS ({SOURCE}) SELECT doc_id, 'Markdown' AS format, sha256(text) AS source_sha256, md5(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g')) AS digest, length(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g')) AS n_chars FROM src")
+def extract_files(spark, sf_dir):
+    """Every text as a Markdown file: routed by its format, hashed, decoded and read line by line."""
+    content = F.encode("text", "UTF-8")
+    out = files.extracted(source(spark, sf_dir).select("doc_id", F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.octet_length("text").cast("long").alias("length"), content.alias("content")))
+    return out.select("doc_id", "format", "source_sha256", F.md5(F.encode("text", "UTF-8")).alias("digest"), F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query(f"WITH src AS ({SOURCE}), {_CTES}, n AS (SELECT doc_id, count(*) AS n_spans FROM s GROUP BY doc_id) SELECT src.doc_id, coalesce(n_spans, 0) AS n_spans, length(text) AS n_chars FROM src LEFT JOIN n USING (doc_id)")
+def review_json(spark, sf_dir):
+    """What a review screen gets, read back: as many detections, the same text."""
+    made = sinks.analysis_json(_accepted(spark, sf_dir).withColumn("candidates", F.col("accepted")))
+    back = F.from_json("json", "text string, detections array<struct<start:int>>")
+    return made.select("doc_id", back.alias("r")).select("doc_id", F.size("r.detections").cast("long").alias("n_spans"), F.char_length("r.text").cast("long").alias("n_chars"))
+
+
+@query(f"WITH {_CTES} SELECT doc_id, type, 'REGEX' AS provenance, CASE type WHEN 'EMAIL' THEN '0.95' ELSE '0.80' END AS confidence, value, CASE type WHEN 'PHONE' THEN 'TELEFONO' ELSE type END AS label FROM s")
+def list_spans(spark, sf_dir):
+    return sinks.listing(_rows(spark, sf_dir))
 
 
 # --- whole runs
