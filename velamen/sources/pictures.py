@@ -83,4 +83,4 @@ def coverage(rectangles: list[tuple[float, float, float, float]], page: tuple[fl
 @arrow_udf("double")
 def image_coverage(rectangles, page):
     """coverage() of columns: an array of structs of four doubles, and one such struct."""
-    return coverage([tuple(r) for r in rectangles or []], tuple(page)) if page is not None else 0.0
+    return coverage([tuple(r.values()) for r in rectangles or []], tuple(page.values())) if page is not None else 0.0
