@@ -31,6 +31,36 @@ def test_words_and_shingles():
     assert [x.tolist() for x in common.shingle_sets(*common.text_bytes(pa.chunked_array([["q w", "e r"]]).slice(1)), 2)] == [common.shingle_sets(*common.text_bytes(pa.array(["e r"])), 2)[0].tolist()]
 
 
+def test_the_shared_folder():
+    """A cluster that names no folder gets an error, not a folder of one machine."""
+    from types import SimpleNamespace as N
+
+    conf = N(get=lambda *a: None)
+    session = lambda master: N(conf=conf, sparkContext=N(getConf=lambda: conf, master=master))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            common.shared_dir(session(master))
+    assert common.shared_dir(session("local[2]")) and common.shared_dir(session("local"))
+
+
+def test_intermediate_tables_go(spark):
+    import os
+
+    table = common.written(spark.range(3), "test")
+    assert os.path.isdir(table._velamen_path) and table.count() == 3
+    common.dropped(table)
+    assert not os.path.exists(table._velamen_path)
+
+
+def test_hot_keys_are_dealt_out(spark):
+    left = spark.createDataFrame([(i, i % 3 if i < 30 else 7) for i in range(200)], "i long, k long")
+    right = spark.createDataFrame([(k, f"t{k}") for k in (0, 1, 7, 9)], "k long, t string")
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    plain = sorted(tuple(r) for r in left.join(right, ["k"]).collect())
+    for most in (5, 10_000):
+        assert sorted(tuple(r) for r in common.dealt(left, right, ["k"], "i", counts, most).select("k", "i", "t").collect()) == plain
+
+
 def test_words_in_slices(monkeypatch):
     rows = ["Uno  dos\tTRES " * 50, None, "", "ÀB\u00a0c d\x0be", "x" * 3000 + " y", "x" * 3000]
     whole = common.words(*common.text_bytes(pa.array(rows)))
