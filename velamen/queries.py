@@ -360,8 +360,15 @@ def verify_coverage(spark, sf_dir):
     return _control(spark, sf_dir, "C4-COBERTURA-DE-SUSTITUCION")
 
 
-@query()
+_VALUE_SQL = f"array_to_string(list_transform(list_filter(string_split({_FOLDED_SQL.replace('text', 'value')}, ' '), lambda w: w <> ''), lambda w: regexp_escape(regexp_replace(w, '([^\\p{{L}}\\p{{Nd}}])', '\\1\\1', 'g'))), '[ \\n\\t]+')"
+
+
+@query(
+    f"""WITH {_CTES}, src AS ({SOURCE}), d AS (SELECT doc_id, regexp_replace({_FOLDED_SQL}, '([^\\p{{L}}\\p{{Nd}}])', '\\1\\1', 'g') AS twice FROM src)
+    SELECT doc_id, count(*) FILTER (regexp_matches(twice, '(?:^|[^\\p{{L}}\\p{{Nd}}])' || {_VALUE_SQL} || '(?:$|[^\\p{{L}}\\p{{Nd}}])')) AS n_findings FROM s JOIN d USING (doc_id) GROUP BY doc_id"""
+)
 def verify_literal(spark, sf_dir):
+    """As whole words: a code within a longer word is none of its values."""
     return _control(spark, sf_dir, "C1-VALOR-LITERAL")
 
 
