@@ -90,10 +90,10 @@ def dealt(df: DataFrame, keys: DataFrame, on: list[str], by: str, weights: DataF
     """Inner join of df with keys, which has few rows for each value of `on`. weights (on, n) tells how many rows of df a
     value has: values with more than `most` are dealt out, by a hash of `by`, to as many tasks as it takes, and their rows
     of keys go to all of these. Such values are few, as each has so many rows."""
-    hot = written(weights.where(F.col("n") > most).select(*on, F.ceil(F.col("n") / most).cast("int").alias("_salts")), "hot")
+    hot = weights.where(F.col("n") > most).select(*on, F.ceil(F.col("n") / most).cast("int").alias("_salts"))
     if hot.isEmpty():
-        dropped(hot)
         return df.join(keys, on)
+    hot = written(hot, "hot")
     df = only(df, hot, on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
     keys = only(keys, hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return df.join(keys, [*on, "_salt"]).drop("_salt")
