@@ -232,8 +232,13 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model of at most `sample` texts a language of docs (doc_id, text, lang), whose crc32(doc_id) mod 4 is not 2: those
     of the smallest hashes, however many rows share an id. None where no row can teach anything."""
     rows = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL AND pmod(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)), 4) <> 2")
-    # each task passes on no more of a language than the sample takes
-    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("rank"))
+    counts = dict(rows.groupBy("lang").count().collect())
+    if not counts:
+        return None
+    # so large a share that it all but surely holds enough; of rows that are alike, or by chance too many, a task passes on
+    # no more than the sample takes
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * sample / n + 20.0 / n))])
+    rows = rows.select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("rank")).where(F.col("rank") <= F.element_at(share, F.col("lang")) * float(2**63))
     order = Window.partitionBy("lang").orderBy("rank", "text")
     found = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample).collect()
     return train([(r["lang"], r["text"]) for r in sorted(found, key=lambda r: (r["lang"], r["nth"]))]) if found else None
