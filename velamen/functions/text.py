@@ -94,9 +94,11 @@ def tidy_blanks(text: Column) -> Column:
 
 
 def normalize(text: Column, composed: bool = False) -> Column:
-    """The form that detection reads. composed: text is known to be in composed form."""
-    text = text if composed else nfc(text)
-    return tidy_blanks(join_spaced_letters(join_hyphenated(unify_dashes(strip_invisibles(unify_line_endings(text))))))
+    """The form that detection reads. composed: text is known to be in composed form. Texts that no step may change are
+    done with after one look."""
+    plain = text if composed else nfc(text)
+    changed = tidy_blanks(join_spaced_letters(join_hyphenated(unify_dashes(strip_invisibles(unify_line_endings(plain))))))
+    return F.when(text.rlike(CHANGING), changed).otherwise(text)
 
 
 def _bare(text: Column) -> Column:
