@@ -31,6 +31,8 @@ SHINGLE = 5
 CLASSES = (64, 256, 1024, 4096)
 #: Terms of items, summed, that one broadcast index holds at most, so about 100 MB; items beyond it make further indexes.
 PART_TERMS = 2_000_000
+#: Bytes of an index that may be broadcast.
+PART_BYTES = 1 << 29
 #: Words of a text, and pairs of passages' terms and blocks, that are looked up at a time.
 SLICE_WORDS, ROWS = 1 << 16, 1 << 21
 SLACK = 1e-9
@@ -287,7 +289,9 @@ def _sent(items: DataFrame):
     """The indexes of items, one broadcast at a time."""
     if (table := index_table(items)) is None:
         return
-    for row in table.select("part").orderBy("part").collect():
+    for row in table.select("part", F.octet_length("index").alias("bytes")).orderBy("part").collect():
+        if row["bytes"] > PART_BYTES:
+            raise ValueError(f"an index of {row['bytes']} bytes is too large to broadcast: PART_TERMS must be smaller")
         yield items.sparkSession.sparkContext.broadcast(table.where(F.col("part") == row["part"]).first()["index"])
     dropped(table)
 
