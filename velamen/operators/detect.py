@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,6 +163,15 @@ def terms(phrases: list[str] = ()) -> list[Detector]:
 BY_NAME = {d.name: d for d in [*DETERMINISTIC, *CONTEXTUAL]}
 
 
+def unretried(detector: Detector, right: str) -> Detector:
+    """detector, whose pattern ends with (?!right) and takes in no match of right before it, with one search from left to
+    right: a match with `right` behind it is dropped, and what it covers is not searched again."""
+    core = detector.pattern.removesuffix(f"(?!{right})")
+    if core == detector.pattern or detector.accepts:
+        raise ValueError("the pattern must end with what may not follow it, and have no other check")
+    return replace(detector, pattern=f"{core}(?:{right})?", accepts=lambda v: v.rlike(f"\\A{core}\\z"))
+
+
 def all_spans(text: Column, detectors: list[Detector]) -> Column:
     """What all detectors find, in their order."""
     return F.concat(F.array().cast(SPANS), *[d.spans(text) for d in detectors])
@@ -174,4 +183,4 @@ def detect(docs: DataFrame, detectors: list[Detector], key: str = "doc_id") -> D
     return found.select(key, "s.*")
 
 
-__all__ = ["BY_NAME", "CONTEXTUAL", "DETERMINISTIC", "SPANS", "Detector", "all_spans", "canonical", "detect", "literal_pattern", "matches", "organizations", "terms"]
+__all__ = ["BY_NAME", "CONTEXTUAL", "DETERMINISTIC", "SPANS", "Detector", "all_spans", "canonical", "detect", "literal_pattern", "matches", "organizations", "terms", "unretried"]
