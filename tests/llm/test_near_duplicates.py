@@ -78,6 +78,26 @@ def test_links_inside_a_cluster(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_links"]) for r in got) == expected
 
 
+def test_links_where_a_leader_has_leaders(spark):
+    """Versions of a text, the later ones in more copies: a leader's leader may follow yet another."""
+    r = random.Random(47)
+    words, rows = [f"w{j}" for j in range(150)], []
+    for x in range(16):
+        rows += [" ".join(words)] * (1 + x // 4)
+        for _ in range(r.choice([1, 2, 3])):
+            words[r.randrange(150)] = f"n{x}_{r.randrange(99)}"
+    rows = list(enumerate(rows))
+    got = jaccard_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_links"]) for r in got) == links(rows)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows)
+
+
+def test_repeated_ids_without_words(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, None), (2, ""), (3, None), (3, " "), (None, None), (4, ""), (4, "x")]
+    got = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows)
+
+
 def test_nothing(nothing):
     assert jaccard_join.jaccard_groups(nothing).count() == 0 and jaccard_join.one_of_each(nothing).count() == 0
 

@@ -337,10 +337,13 @@ def _links_within(cluster: DataFrame, docs: DataFrame, k: int, percent: int) ->
     """(f, links): how many rows of other sets of its cluster link with each set. Large clusters are dealt out in pairs
     of blocks; no pair of sets is a row."""
     several = cluster.groupBy("cluster").agg(F.count("*").alias("sets")).where("sets > 1").select("cluster")
-    members = written(cluster.join(several, "cluster", "left_semi").select("cluster", "f", F.col("n_equal").alias("w"), F.col("cls").alias("doc_id")), "members")
+    members = cluster.join(several, "cluster", "left_semi").withColumn("own", F.lit(True))
+    # where leaders have leaders, a cluster's may itself be one of another cluster's sets
+    away = cluster.where("f <> cluster").join(several.select(F.col("cluster").alias("f")), "f", "left_semi").withColumn("cluster", F.col("f")).withColumn("own", F.lit(False))
+    members = written(members.unionByName(away).select("cluster", "f", F.col("n_equal").alias("w"), F.col("cls").alias("doc_id"), "own"), "members")
     texts = only(docs.select("doc_id", "text"), members.select("doc_id").distinct(), "doc_id").join(members, "doc_id")
     leaders = texts.where("f = cluster").select("cluster", F.col("text").alias("leader")).distinct()
-    changes = texts.join(leaders, "cluster").select("cluster", "f", "w", "text", "leader")
+    changes = texts.where("own").join(leaders, "cluster").select("cluster", "f", "w", "text", "leader")
     changes = written(changes.mapInArrow(batched(_changes(k)), "cluster long, f long, w long, n long, r long, base long, delta array<long>"), "changes")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum(F.size("delta")) / BLOCK_CHANGES))
     large = changes.groupBy("cluster").agg(blocks.cast("long").alias("blocks")).where("blocks > 1")
@@ -451,10 +454,17 @@ def _joined(docs: DataFrame, k: int, percent: int, with_links: bool) -> DataFram
     # sets that very many rows share are few: they come by broadcast, so that no task gets all those rows
     named = written(named, "named")
     dropped(star, near, cluster, hot, entries_at, pairs, links, classes, *repeated)
+    # a row without words has the component of the other rows of its doc_id
+    bare = sets.where("n = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    bare = written(only(full.select("doc_id", "f", "g"), bare, "doc_id"), "bare")
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "f", "g")
     often = named.where(F.col("n_equal") > HOT_ROWS)
     out = only(rows, often, ["f", "g"], "left")
     out = out.where("n_equal IS NOT NULL").unionByName(only(rows, often.select("f", "g"), ["f", "g"], "left_anti").join(named, ["f", "g"], "left").select(out.columns))
+    if not bare.isEmpty():
+        nodes = written(bare.join(named, ["f", "g"]).groupBy("doc_id").agg(F.min("component").alias("of_id")), "nodes")
+        out = only(out, nodes, "doc_id", "left").withColumn("component", F.coalesce("component", "of_id"))
+    dropped(bare)
     columns = ["doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("n_equal", F.lit(1)).alias("n_equal")]
     if with_links:
         n_links = F.col("n_equal") - 1 + F.coalesce("links", F.lit(0))
