@@ -10,6 +10,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,19 @@ def _file_system(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def trimmed(spark: SparkSession) -> str | None:
+    """The driver's JVM gives native memory that it has freed back to the system, which glibc keeps else: after many large
+    plans that is what compiling them took. What the JVM says; None where it has no such command."""
+    java, new = spark._jvm.java.lang, spark.sparkContext._gateway.new_array
+    try:
+        invoke = next(m for m in java.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = new(java.Object, 4)
+        args[0], args[1] = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return invoke.invoke(java.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return None
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and any executor can read it again. What dropped() has not
     deleted by then goes with the application, as plans that are returned may still read it."""
@@ -64,6 +78,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._velamen_path = path
+    trimmed(spark)
     return out
 
 
