@@ -54,11 +54,15 @@ POSTAL_CITY = r"(?<!\d)(\d{5})(?=\s+(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]{2,}|[A
 ADDRESS = STREET_TYPE + r"\s+" + STREET_WORD + r"(?:\s+" + STREET_WORD + "){0,5}" + NUMBER
 
 
-def matches(text: Column, pattern: str, group: int = 0, prefix: bool = False, needs: str | None = None) -> Column:
+def matches(text: Column, pattern: str, group: int = 0, prefix: bool = False, needs: str | None = None, right: str | None = None) -> Column:
     """(start, value) of all matches, or of their group 1, which must end where the match ends, or begin where it
-    begins if `prefix`. needs: a cheaper pattern that every text with a match has, too."""
+    begins if `prefix`. needs: a cheaper pattern that every text with a match has, too. right: a character that may not
+    follow a match; such a match is dropped, and the search goes on behind it. The pattern has no group 1 then."""
+    if right:
+        pattern = f"{pattern}(?=({right})?)"
     whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = [F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v")] if group else []
+    values += [F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("right")] if right else []
     zipped = F.arrays_zip(whole.alias("m"), gaps.alias("gap"), *values)
     own = "v" if group else "m"
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
@@ -68,7 +72,10 @@ def matches(text: Column, pattern: str, group: int = 0, prefix: bool = False, ne
         end = begin + F.char_length(x["m"])
         start = end - F.char_length(x[own]) if group and not prefix else begin
         found = F.struct(start.cast("int").alias("start"), x[own].alias("value"))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(found)).alias("out")))
+        out = F.concat(acc["out"], F.array(found))
+        if right:
+            out = F.when(x["right"] == "", out).otherwise(acc["out"])
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.cast("int").alias("at"), out.alias("out")))
 
     found = F.aggregate(zipped, empty, step, lambda acc: acc["out"])
     # most texts have no match: one cheap pass for them
@@ -79,7 +86,7 @@ def matches(text: Column, pattern: str, group: int = 0, prefix: bool = False, ne
 @dataclass(frozen=True)
 class Detector:
     """A pattern and what becomes of its matches. accepts and trim work on the value's column; needs is a simple pattern
-    that every accepted match has within it, so that most texts are done with quickly."""
+    that every accepted match has within it, so that most texts are done with quickly; right is what matches() takes."""
 
     name: str
     type: str
@@ -91,9 +98,10 @@ class Detector:
     accepts: Callable[[Column], Column] | None = None
     key: Callable[[Column], Column] | None = None
     needs: str | None = None
+    right: str | None = None
 
     def spans(self, text: Column) -> Column:
-        found = matches(text, self.pattern, self.group, needs=self.needs)
+        found = matches(text, self.pattern, self.group, needs=self.needs, right=self.right)
         if self.trim:
             found = F.transform(found, lambda x: F.struct(x["start"].alias("start"), self.trim(x["value"]).alias("value")))
         found = F.filter(found, lambda x: x["value"].rlike("\\S") & (self.accepts(x["value"]) if self.accepts else F.lit(True)))
@@ -163,13 +171,16 @@ def terms(phrases: list[str] = ()) -> list[Detector]:
 BY_NAME = {d.name: d for d in [*DETERMINISTIC, *CONTEXTUAL]}
 
 
-def unretried(detector: Detector, right: str) -> Detector:
-    """detector, whose pattern ends with (?!right) and takes in no match of right before it, with one search from left to
-    right: a match with `right` behind it is dropped, and what it covers is not searched again."""
+def unretried(detector: Detector, right: str, left: str | None = None) -> Detector:
+    """detector, whose pattern ends with (?!right), with one search from left to right: a match with `right` behind it is
+    dropped, and the search goes on behind it. left: what the pattern lets no match begin behind, in its (?<!left) at the
+    front; a match may then begin there where another one ends."""
     core = detector.pattern.removesuffix(f"(?!{right})")
-    if core == detector.pattern or detector.accepts:
-        raise ValueError("the pattern must end with what may not follow it, and have no other check")
-    return replace(detector, pattern=f"{core}(?:{right})?", accepts=lambda v: v.rlike(f"\\A{core}\\z"))
+    if core == detector.pattern or detector.group or left and not core.startswith(f"(?<!{left})"):
+        raise ValueError("the pattern must end with what may not follow it, begin with what may not stand before it, and be the value")
+    if left:
+        core = f"(?:\\G|(?<!{left}))" + core.removeprefix(f"(?<!{left})")
+    return replace(detector, pattern=core, right=right)
 
 
 def all_spans(text: Column, detectors: list[Detector]) -> Column:
