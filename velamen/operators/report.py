@@ -54,14 +54,15 @@ def occurrence_list(spans: DataFrame) -> DataFrame:
     return spans.withColumn("nth", F.row_number().over(same)).where("nth = 1").drop("nth").withColumn("place", F.row_number().over(order))
 
 
-def output_ranges(text: Column, spans: Column, labels: Column) -> Column:
-    """Where each span's label stands in the redacted text; spans in the order of the text, without overlaps."""
+def output_ranges(text: Column, spans: Column, labels: Column, breaks: bool = True) -> Column:
+    """Where each span's label stands in the redacted text, with the span's line breaks if `breaks`; spans in the order of
+    the text, without overlaps."""
     empty = F.struct(F.lit(0).alias("shift"), F.array().cast("array<struct<span_id:string,start:int,end:int>>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         name = F.get(F.filter(labels, lambda x: x["entity_key"] == s["entity_key"]), F.lit(0))["label"]
-        breaks = F.regexp_replace(F.substring(text, s["start"] + 1, s["end"] - s["start"]), "[^\\r\\n]", "")
-        size = F.char_length(name) + F.char_length(breaks)
+        stays = F.regexp_replace(F.substring(text, s["start"] + 1, s["end"] - s["start"]), "[^\\r\\n]", "") if breaks else F.lit("")
+        size = F.char_length(name) + F.char_length(stays)
         begin = s["start"] + acc["shift"]
         found = F.struct(s["span_id"].alias("span_id"), begin.cast("int").alias("start"), (begin + size).cast("int").alias("end"))
         return F.struct((acc["shift"] + size - (s["end"] - s["start"])).cast("int").alias("shift"), F.concat(acc["out"], F.array(found)).alias("out"))
