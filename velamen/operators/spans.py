@@ -63,15 +63,16 @@ def pseudonyms(spans: Column) -> Column:
     return F.transform(found, lambda x: F.struct(x["entity_key"].alias("entity_key"), x["label"].alias("label")))
 
 
-def redact(text: Column, spans: Column, labels: Column) -> Column:
-    """text with each span's label in its place; line breaks of a span stay behind its label."""
+def redact(text: Column, spans: Column, labels: Column, breaks: bool = True) -> Column:
+    """text with each span's label in its place; line breaks of a span stay behind its label, or go if not `breaks`."""
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         name = F.get(F.filter(labels, lambda x: x["entity_key"] == s["entity_key"]), F.lit(0))["label"]
         value = F.substring(text, s["start"] + 1, s["end"] - s["start"])
         named = F.when(name.isNull(), F.raise_error(F.concat(F.lit("a span without a label: "), s["span_id"])).cast("string")).otherwise(name)
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), named, F.regexp_replace(value, "[^\\r\\n]", "")).alias("out"))
+        stays = F.regexp_replace(value, "[^\\r\\n]", "") if breaks else F.lit("")
+        return F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), named, stays).alias("out"))
 
     return F.aggregate(by_start(spans), empty, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
 
