@@ -25,3 +25,11 @@ def compared(spark, tmp_path_factory):
 
 def test_review_of_a_very_long_text(compared):
     compared("review_json", ["word " * 4_000_001 + "a@b.co", "a@b.co"])
+
+
+LABELS = ["x a@" + "b." * k + "com y 612345678" for k in (1, 300, 20_000)] + ["a@" + "b.c1." * 20_000 + "com9 c@d.org"]
+
+
+@pytest.mark.parametrize("name", ["verify_reformatted"])
+def test_email_of_many_labels(compared, name):
+    compared(name, LABELS)

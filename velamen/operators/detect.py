@@ -43,7 +43,10 @@ DNI = r"(?<![0-9A-Za-z])" + DNI_BODY + LETTER_SUFFIX
 NIE = r"(?<![0-9A-Za-z])" + VALIDATED_NIE_BODY + LETTER_SUFFIX
 PASSPORT = r"(?iu)(?<![\p{L}\p{N}])(?:pasaporte|passport)(?:\s+(?:n\.?\s?[º°o]\.?|n[uú]m(?:ero|\.)?|number|nr\.?))?\s*[:#]?\s*([A-Za-z0-9]{6,9})(?![\p{L}\p{N}])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}\s?[A-Z0-9]{0,4}(?![0-9A-Za-z])"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])"
+EMAIL_LABEL, EMAIL_END = r"[A-Za-z0-9-]++\.", r"[A-Za-z]{2,}+(?![A-Za-z0-9-])"
+# each step of the possessive loop goes on to the next dot that the address may end behind, so that nothing is taken back:
+# Java follows (?:label)+ by recursion and fails on an address of a few thousand labels
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:(?:" + EMAIL_LABEL + f"(?!{EMAIL_END}))*+{EMAIL_LABEL}(?={EMAIL_END}))++{EMAIL_END}"
 PHONE = r"(?<!\d)(?:(?:\+|00)[ \t]?34[\s.-]?)?[6789](?:[ \t.-]?\d){8}(?!\d)"
 PLATE = r"(?<![0-9A-Za-z])\d{4}\s?-?\s?[BCDFGHJKLMNPRSTVWXYZ]{3}(?![0-9A-Za-z])"
 DOCUMENT_CODE = r"(?<![0-9A-Za-z])(?:" + DNI_BODY + "|" + NIE_BODY + r")(?:\s?-?\s?[A-Za-z]|" + NOT_AN_AMOUNT + r")(?![0-9A-Za-z]|[.,]\d)"
@@ -175,8 +178,8 @@ def unretried(detector: Detector, right: str, left: str | None = None) -> Detect
     """detector, whose pattern ends with (?!right), with one search from left to right: a match with `right` behind it is
     dropped, and the search goes on behind it. left: what the pattern lets no match begin behind, in its (?<!left) at the
     front; a match may then begin there where another one ends."""
-    core = detector.pattern.removesuffix(f"(?!{right})")
-    if core == detector.pattern or detector.group or left and not core.startswith(f"(?<!{left})"):
+    core = detector.pattern.replace(f"(?!{right})", "")
+    if not detector.pattern.endswith(f"(?!{right})") or detector.group or left and not core.startswith(f"(?<!{left})"):
         raise ValueError("the pattern must end with what may not follow it, begin with what may not stand before it, and be the value")
     if left:
         core = f"(?:\\G|(?<!{left}))" + core.removeprefix(f"(?<!{left})")
