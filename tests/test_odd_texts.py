@@ -30,6 +30,6 @@ def test_review_of_a_very_long_text(compared):
 LABELS = ["x a@" + "b." * k + "com y 612345678" for k in (1, 300, 20_000)] + ["a@" + "b.c1." * 20_000 + "com9 c@d.org"]
 
 
-@pytest.mark.parametrize("name", ["verify_reformatted"])
+@pytest.mark.parametrize("name", ["verify_reformatted", "counts_by_provenance"])
 def test_email_of_many_labels(compared, name):
     compared(name, LABELS)
