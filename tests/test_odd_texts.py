@@ -38,7 +38,7 @@ def test_email_of_many_labels(compared, name):
 PHONES = [f"Tel{a}{b}612345678 or 0034{b}712 345 678" for a in (" +34", "+\t34", "00 34") for b in ("\x0b", "\f", "\n", "\r", "\t", " ", ".")]
 
 
-@pytest.mark.parametrize("name", ["list_spans", "occurrence_list", "entity_stats"])
+@pytest.mark.parametrize("name", ["list_spans", "occurrence_list", "entity_stats", "verify_literal"])
 def test_white_space_in_a_phone(compared, name):
     compared(name, PHONES)
 
